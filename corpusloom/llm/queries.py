@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import looks, near_dup, overlap
+from . import binpack, budget, encode, looks, mixing, near_dup, overlap
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,11 +35,61 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_p6_pairs(spark, d), _read(spark, d, "records"))
 
 
+def p2_draws(spark: SparkSession, d: str) -> DataFrame:
+    drawn, _ = mixing.draw(_read(spark, d, "records"), _read(spark, d, "mix_weights"))
+    return drawn.select("mix_id", "source", "record_id", "repeats", "tokens")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixing.draw(_read(spark, d, "records"), _read(spark, d, "mix_weights")))
+
+
+def p2_shards(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shard_plan(mixing.draw(_read(spark, d, "records"), _read(spark, d, "mix_weights"))[0])
+
+
+def p4_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return budget.token_totals(_read(spark, d, "documents"))
+
+
+def p4_byte_totals(spark: SparkSession, d: str) -> DataFrame:
+    return budget.token_totals(_read(spark, d, "documents"), tokenizer="byte")
+
+
+def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return encode.count_tokens(_read(spark, d, "documents").select("doc_id", "text"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_table(_read(spark, d, "documents"))
+
+
+def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return binpack.pack_texts(_read(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p2_draws": p2_draws,
+    "p2_shares": p2_shares,
+    "p2_shards": p2_shards,
+    "p4_token_totals": p4_token_totals,
+    "p4_byte_totals": p4_byte_totals,
+    "p4_document_tokens": p4_document_tokens,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_ids": p7_ids,
+    "p8_sequences": p8_sequences,
 }
 
-SQL: dict[str, str] = {}
+_LANG = """case regexp_extract(lower(trim(lang)), '^([a-z]+)', 1)
+    when '' then null """ + " ".join(f"when '{a}' then '{b}'" for a, b in budget.LANGUAGE_CODES.items()) + """
+    else regexp_extract(lower(trim(lang)), '^([a-z]+)', 1) end"""
+
+SQL: dict[str, str] = {
+    "p4_byte_totals": f"""
+        select source, {_LANG} as lang, domain, count(*) as documents, cast(coalesce(sum(length(text)), 0) as bigint) as characters,
+               cast(coalesce(sum(strlen(text)), 0) as bigint) as tokens
+        from documents group by 1, 2, 3""",
+}
