@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from corpusloom.session import materialize
 
 BLOCK = 2048
+#: Blocks after the one in which a quota ends, of which records may fill it up.
+NEAR = 8
 SHARDS = 16
 SEED = 1337
 
@@ -116,7 +118,7 @@ def draw(records: DataFrame, weights: DataFrame, block: int = BLOCK, seed: int =
     slots = slots.select("mix_id", "source", "block", "epochs", "at", "blocks", "slot", "block_tokens", (F.col("rest") - F.col("drawn")).alias("open"))
     both = placed.join(slots, ["source", "block"])
     whole = F.col("open") >= F.col("block_tokens")
-    cut = F.col("open").between(1, F.col("block_tokens") - 1)
+    cut = ~whole & (F.col("open") > -NEAR * block)  # the block in which the quota ends, and the next few
     fitted = (
         both.where(cut)
         .select("mix_id", "source", "record_id", "tokens", "open")
@@ -131,8 +133,8 @@ def draw(records: DataFrame, weights: DataFrame, block: int = BLOCK, seed: int =
 
 
 def _fit(block: pd.DataFrame) -> pd.DataFrame:
-    """Of the one block in which a quota ends, records that fill what is open: large ones first, then the one that misses least."""
-    room, taken, rest = int(block["open"].iloc[0]), [], []
+    """Of the block in which a quota ends and the next few, records that fill what is open: large ones first, then the one that misses least."""
+    room, taken, rest = int(block["open"].max()), [], []
     for r in block.sort_values(["tokens", "record_id"], ascending=[False, True]).itertuples():
         if r.tokens <= room:
             taken.append(r.record_id)

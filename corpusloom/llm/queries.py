@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, budget, encode, looks, mixing, near_dup, overlap
+from . import binpack, budget, encode, looks, mixing, mojibake, near_dup, overlap
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -68,6 +68,14 @@ def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return binpack.pack_texts(_read(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(_read(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(_read(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_draws": p2_draws,
@@ -81,6 +89,8 @@ QUERIES = {
     "p6_report": p6_report,
     "p7_ids": p7_ids,
     "p8_sequences": p8_sequences,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _LANG = """case regexp_extract(lower(trim(lang)), '^([a-z]+)', 1)
