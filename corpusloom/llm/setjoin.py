@@ -7,8 +7,8 @@ sets form one class, named by a 64-bit fingerprint, so copies cost one entry how
    hash buckets, never too low). It only orders the sequences, rare ones first; any order that all
    tasks share gives exact results, so bucket collisions cost time, not pairs. A bucket counted once
    proves that its sequence joins nothing.
-2. `postings`: the prefix of each set in that order. Two sets of similarity >= t share a sequence of
-   their prefixes. Entries travel packed by hash bucket. A sequence that very many texts hold in
+2. `postings`: the prefix of each set in that order. Two sets of similarity >= t share `MATCHES`
+   sequences of their prefixes (all they need to share, if that is fewer). Entries travel packed by hash bucket. A sequence that very many texts hold in
    their prefix is split into pairs of blocks, each pair its own entry list.
 3. `candidates`: within a bucket, lists are split by size and ordered by position. For a list and a
    size, the bound on the overlap says up to which position entries can still qualify; whole blocks
@@ -44,6 +44,8 @@ SLICE_BITS = 16
 FILTER_BITS = 26
 #: Entries of one sequence above which its list is split into pairs of blocks.
 HOT = 20_000
+#: Sequences of their prefixes that two sets must share; each more lengthens the prefix by one and saves false candidates.
+MATCHES = 4
 #: Pairs that are expanded at once within a task.
 CHUNK = 1 << 21
 #: Pairs of a verification group above which it is split.
@@ -56,8 +58,9 @@ def needed(total: np.ndarray | int, t: Fraction) -> np.ndarray | int:
     return -((-p * total) // q)
 
 
-def prefix_length(n: int, t: Fraction) -> int:
-    return n - -(-t.numerator * n // t.denominator) + 1 if n else 0
+def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """Entries of a set of `n` elements that are indexed: any partner shares at least `MATCHES` of them, or all it shares."""
+    return np.minimum(n, n - -(-t.numerator * n // t.denominator) + MATCHES)
 
 
 def text_sets(texts: list[str | None], shingle: int, least_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,7 +213,7 @@ def postings(df: DataFrame, codes, t: Fraction, shingle: int, least_words: int,
                 order = np.argsort((doc.astype(np.uint64) << np.uint64(50)) | (c.astype(np.uint64) << np.uint64(42)) | (sets >> np.uint64(10)), kind="stable")
                 pos = np.arange(len(sets)) - np.repeat(off[:-1], n)
                 new = np.fromiter(((k := (f, s)) not in seen and (seen.add(k) or True) for f, s in zip(fps.tolist(), side.tolist())), bool, len(fps))
-                lengths = np.array([prefix_length(k, t) for k in n.tolist()])
+                lengths = prefix_length(n, t)
                 c, tok = c[order], sets[order]
                 m = (pos < lengths[doc]) & (c > 1) & new[doc]
                 tok, d, p, c = tok[m], doc[m], pos[m], c[m]
@@ -260,8 +263,8 @@ def block_pairs(token, fp, size, pos, side, t: Fraction) -> Iterator[tuple[np.nd
     """Pairs of entry numbers that share a list and may reach `t` by size and position, skipping whole blocks.
 
     Input must be ordered by (token, size, pos). A block is the run of one token and size. For blocks of sizes
-    s <= s2 an entry at position p qualifies only if s - p >= needed(s + s2), likewise for s2: in either block
-    these are the entries before one position, found by a binary search; none: the block is skipped.
+    s <= s2 the first `MATCHES` common entries have s - p - 1 + MATCHES >= needed(s + s2), likewise for s2: in either
+    block these are the entries before one position, found by a binary search; none: the block is skipped.
     """
     if len(token) < 2:
         return
@@ -279,8 +282,8 @@ def block_pairs(token, fp, size, pos, side, t: Fraction) -> Iterator[tuple[np.nd
         x = np.repeat(np.arange(lo, hi), many[lo:hi])
         y = x + np.arange(len(x)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
         need = needed(bs[x] + bs[y], t)
-        nx = np.searchsorted(key, x << 32 | np.maximum(bs[x] - need + 1, 0)) - start[x]
-        ny = np.searchsorted(key, y << 32 | np.maximum(bs[y] - need + 1, 0)) - start[y]
+        nx = np.searchsorted(key, x << 32 | np.maximum(bs[x] - need + MATCHES, 0)) - start[x]
+        ny = np.searchsorted(key, y << 32 | np.maximum(bs[y] - need + MATCHES, 0)) - start[y]
         ok = (nx > 0) & (ny > 0) & ((x != y) | (nx > 1))
         x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
         # rows: one for each entry of x's part; then its partners in y's part
@@ -310,7 +313,7 @@ def _chunks(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def candidates(posted: DataFrame, t: Fraction, buckets: int) -> DataFrame:
-    """Pairs `(a, b)`, a < b, of fingerprints that share a prefix entry and pass the size and position bounds, each once."""
+    """Pairs `(a, b)`, a < b, of fingerprints that share enough prefix entries within the size and position bounds, each once."""
 
     def run(it):
         d = zstandard.ZstdDecompressor()
@@ -332,8 +335,9 @@ def candidates(posted: DataFrame, t: Fraction, buckets: int) -> DataFrame:
         held = None
         for a, b in block_pairs(token, fp, size, pos, side, t):
             x, y = fp[a], fp[b]
-            pair = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-            held = _distinct(pair if held is None else np.concatenate([held, pair]))
+            must = np.minimum(needed(size[a].astype(np.int64) + size[b], t), MATCHES)
+            pair = np.stack([np.minimum(x, y), np.maximum(x, y), must, np.ones(len(x), np.int64)], axis=1)
+            held = _summed(pair if held is None else np.concatenate([held, pair]))
             if len(held) > CHUNK:
                 yield _pairs(held)
                 held = None
@@ -341,17 +345,22 @@ def candidates(posted: DataFrame, t: Fraction, buckets: int) -> DataFrame:
             yield _pairs(held)
 
     packed = posted.repartitionById(buckets, F.col("bucket"))
-    return packed.select("entries").mapInArrow(run, "a long, b long").distinct()
+    counted = packed.select("entries").mapInArrow(run, "a long, b long, must long, n long")
+    return counted.groupBy("a", "b").agg(F.max("must").alias("must"), F.sum("n").alias("n")).where("n >= must").select("a", "b")
 
 
-def _distinct(pairs: np.ndarray) -> np.ndarray:
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """Each pair once, its matches added up."""
     o = np.lexsort((pairs[:, 1], pairs[:, 0]))
     p = pairs[o]
-    return p[np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)])]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)]))
+    out = p[first]
+    out[:, 3] = np.add.reduceat(p[:, 3], first)
+    return out
 
 
 def _pairs(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(p[:, k]) for k in range(4)], ["a", "b", "must", "n"])
 
 
 def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
