@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, budget, encode, looks, mixing, mojibake, near_dup, overlap
+from . import binpack, budget, encode, looks, mixing, mojibake, near_dup, overlap, pairs
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -13,13 +13,13 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_dup.near_duplicate_pairs(_read(spark, d, "records"), "record_id", "text", threshold=0.6, shingle=3, least_words=30)
-    return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
+    found = near_dup.near_duplicate_pairs(_read(spark, d, "records"), "record_id", "text", threshold=0.6, shingle=3, least_words=30)
+    return found.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = looks.same_look_pairs(_read(spark, d, "records"), "record_id", "text", least_chars=16)
-    return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
+    found = looks.same_look_pairs(_read(spark, d, "records"), "record_id", "text", least_chars=16)
+    return found.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
 def _p6_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +27,8 @@ def _p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _p6_pairs(spark, d)
-    return pairs.select(F.least("train_id", "eval_id").alias("record_id_a"), F.greatest("train_id", "eval_id").alias("record_id_b")).distinct()
+    found = _p6_pairs(spark, d)
+    return found.select(F.least("train_id", "eval_id").alias("record_id_a"), F.greatest("train_id", "eval_id").alias("record_id_b")).distinct()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,10 @@ def p2_shards(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shard_plan(mixing.draw(_read(spark, d, "records"), _read(spark, d, "mix_weights"))[0])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(_read(spark, d, "instruct_pairs"))
+
+
 def p4_token_totals(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_totals(_read(spark, d, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "p2_draws": p2_draws,
     "p2_shares": p2_shares,
     "p2_shards": p2_shards,
+    "p3_found": p3_found,
     "p4_token_totals": p4_token_totals,
     "p4_byte_totals": p4_byte_totals,
     "p4_document_tokens": p4_document_tokens,
