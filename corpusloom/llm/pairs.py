@@ -32,7 +32,9 @@ from .forms import visual_form
 
 #: Pairs that both models are trained on, at most.
 SAMPLE = 3000
-EPOCHS = 6
+EPOCHS = 9
+#: Clauses above which a made example isn't trained on; all answers are tagged whole.
+LONGEST = 24
 DIMENSIONS = 1 << 16
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -88,7 +90,7 @@ REFUSALS = {
 
 # Sound clauses that share words with refusals.
 NEAR_REFUSALS = (
-    "I'm sorry to hear that it failed.", "You cannot do this with one flag.", "Sorry for the delay.", "Unfortunately the cache was cold.", "I can help with that.", "It cannot be reset by hand.",
+    "Sorry to hear about the failure.", "You cannot change this with a single option.", "Sorry for the delay.", "Unfortunately the cache was cold.", "I can help with that.", "It cannot be reset by hand.",
     "Es tut mir leid, dass es nicht geklappt hat.", "Das geht nicht mit einem Schalter.", "Leider war der Speicher voll.", "Je suis désolé que cela ait échoué.", "On ne peut pas le faire avec une seule option.",
     "Siento que haya fallado.", "No se puede hacer con una sola opción.", "Lamento que tenha falhado.", "Não se pode fazer isso com uma só opção.", "Жаль, что это не сработало.", "Это нельзя сделать одним ключом.",
 )
@@ -215,6 +217,8 @@ def describe(question: str | None, answer: str, languages: Languages) -> tuple[l
     qg, hg, ag = _grams(q), _grams(head), _grams(answer)
     covered = max(len(qg & ag) / len(qg) if qg else 0, len(hg & ag) / len(hg) if hg else 0)
     mine = languages.best(head) or languages.best(q)
+    taken = len(qg & ag) / len(ag) if ag else 0
+    whole = f"ain{_step(taken, 0.7, 0.85, 0.93)}cov{_step(covered, 0.8, 0.9, 0.97)}"
     asks = bool(LANGUAGE_NAMES.search(q))
     transform = bool(_TRANSFORM.search(head))
     terminal = sum(bool(_TERMINAL.search(p)) for p in parts)
@@ -224,7 +228,7 @@ def describe(question: str | None, answer: str, languages: Languages) -> tuple[l
     for i, p in enumerate(parts):
         code = p.startswith("```")
         last, first = i == len(parts) - 1, i == 0
-        f = ["bias", f"first{first}", f"last{last}", f"code{code}", f"one{len(parts) == 1}"]
+        f = ["bias", f"first{first}", f"last{last}", f"code{code}", f"one{len(parts) == 1}", whole, f"{whole}tr{transform}"]
         g = _grams(p)
         inside = len(g & qg) / len(g) if g and not code else 0
         f += [f"in{_step(inside, 0.3, 0.6, 0.8, 0.92)}cov{_step(covered, 0.6, 0.8, 0.88, 0.95)}", f"cov{_step(covered, 0.6, 0.8, 0.88, 0.95)}tr{transform}", f"in{_step(inside, 0.5, 0.8)}tr{transform}"]
@@ -258,6 +262,11 @@ def describe(question: str | None, answer: str, languages: Languages) -> tuple[l
     return parts, out
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
 class Field:
     """A linear-chain conditional random field over hashed features."""
 
@@ -269,51 +278,60 @@ class Field:
     def scores(self, features: list[list[int]]) -> np.ndarray:
         return np.stack([self.weights[f].sum(axis=0) for f in features])
 
-    def marginals(self, features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the tags of each clause, and of each pair of neighbours, by forward and backward passes."""
-        s = self.scores(features)
-        n, k = s.shape
-        t = self.moves[:k]
-        fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
-        fwd[0] = s[0] + self.moves[k]
+    def train(self, rows: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS, rate: float = 0.15, batch: int = 16) -> Field:
+        """AdaGrad on the log-likelihood, in batches of answers of equal length; the weights of the later epochs are averaged."""
+        k = len(TAGS)
+        seen, seen_moves = np.full((DIMENSIONS, k), 1e-4), np.full((k + 1, k), 1e-4)
+        by_length = defaultdict(list)
+        for r in rows:
+            by_length[len(r[1])].append(r)
+        rng = random.Random(7)
+        total, total_moves, kept = np.zeros_like(self.weights), np.zeros_like(self.moves), 0
+        for epoch in range(epochs):
+            batches = []
+            for n in sorted(by_length):
+                rng.shuffle(by_length[n])
+                batches += [by_length[n][i : i + batch] for i in range(0, len(by_length[n]), batch)]
+            rng.shuffle(batches)
+            for part in batches:
+                lens = np.array([len(f) for fs, _ in part for f in fs])
+                flat = np.array([x for fs, _ in part for f in fs for x in f])
+                tags = np.array([y for _, y in part])
+                s = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(lens)[:-1]])).reshape(*tags.shape, k)
+                p, pair = self.marginals(s)
+                g = np.eye(k)[tags] - p
+                u, inv = np.unique(flat, return_inverse=True)
+                acc = np.zeros((len(u), k))
+                np.add.at(acc, inv, np.repeat(g.reshape(-1, k), lens, axis=0))
+                seen[u] += acc * acc
+                self.weights[u] += rate * acc / np.sqrt(seen[u])
+                m = np.zeros((k + 1, k))
+                m[:k] -= pair
+                m[k] = g[:, 0].sum(axis=0)
+                np.add.at(m, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+                seen_moves += m * m
+                self.moves += rate * m / np.sqrt(seen_moves)
+            if epoch >= epochs // 3:
+                total += self.weights
+                total_moves += self.moves
+                kept += 1
+        return Field(total / kept, total_moves / kept) if kept else self
+
+    def marginals(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of chains' scores (chain, clause, tag): probabilities of each tag, and summed ones of neighbouring tags, by forward and backward passes."""
+        _, n, k = s.shape
+        t = self.moves[:k][None]
+        fwd, bwd = np.zeros_like(s), np.zeros_like(s)
+        fwd[:, 0] = s[:, 0] + self.moves[k]
         for i in range(1, n):
-            m = fwd[i - 1][:, None] + t
-            top = m.max(axis=0)
-            fwd[i] = s[i] + top + np.log(np.exp(m - top).sum(axis=0))
+            fwd[:, i] = s[:, i] + _log_sum(fwd[:, i - 1][:, :, None] + t, 1)
         for i in range(n - 2, -1, -1):
-            m = t + (s[i + 1] + bwd[i + 1])[None, :]
-            top = m.max(axis=1)
-            bwd[i] = top + np.log(np.exp(m - top[:, None]).sum(axis=1))
-        z = fwd[-1].max() + np.log(np.exp(fwd[-1] - fwd[-1].max()).sum())
+            bwd[:, i] = _log_sum(t + (s[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
+        z = _log_sum(fwd[:, -1], 1)[:, None]
         pair = np.zeros((k, k))
         for i in range(1, n):
-            pair += np.exp(fwd[i - 1][:, None] + t + (s[i] + bwd[i])[None, :] - z)
-        return np.exp(fwd + bwd - z), pair
-
-    def train(self, rows: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-6) -> Field:
-        """AdaGrad on the log-likelihood."""
-        k = len(TAGS)
-        seen, seen_moves = np.full((DIMENSIONS, k), 1e-6), np.full((k + 1, k), 1e-6)
-        rng = random.Random(7)
-        for _ in range(epochs):
-            rng.shuffle(rows)
-            for features, tags in rows:
-                p, pair = self.marginals(features)
-                for i, (f, y) in enumerate(zip(features, tags)):
-                    g = -p[i]
-                    g[y] += 1
-                    seen[f] += g * g
-                    self.weights[f] += rate * g / np.sqrt(seen[f])
-                    self.weights[f] *= 1 - decay
-                g = np.zeros((k + 1, k))
-                g[:k] -= pair
-                g[k] -= p[0]
-                g[k, tags[0]] += 1
-                for a, b in zip(tags, tags[1:]):
-                    g[a, b] += 1
-                seen_moves += g * g
-                self.moves += rate * g / np.sqrt(seen_moves)
-        return self
+            pair += np.exp(fwd[:, i - 1][:, :, None] + t + (s[:, i] + bwd[:, i])[:, None, :] - z[:, :, None]).sum(axis=0)
+        return np.exp(fwd + bwd - z[:, :, None]), pair
 
     def tag(self, features: list[list[int]]) -> list[int]:
         """The most probable tags (Viterbi)."""
@@ -421,7 +439,7 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
 
     def add(q: str, a: str, tag: int | None, last: int | None = None) -> None:
         parts, f = describe(q, a, languages)
-        if not f:
+        if not f or len(f) > LONGEST:
             return
         tags = [ANSWER if tag is None else tag] * len(f)
         if last is not None:
@@ -430,15 +448,15 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
 
     for q, a, lang in sound:
         add(q, a, None)
-        kind = rng.randrange(12)
-        if kind in (0, 1, 2, 3):
+        kinds = set(rng.sample(range(8), 3))
+        if kinds & {0, 1}:
             if s := cut(a, rng):
                 add(q, s, None, UNFINISHED)
-        if kind in (4, 5, 6, 8):
+        if 2 in kinds:
             add(q, make_refusal(q, lang, rng), REFUSAL)
-        if kind == 5:
+        if 3 in kinds:
             add(q, make_echo(q, rng), ECHO)
-        elif kind == 6 and len(by_lang) > 1:
+        if 4 in kinds and len(by_lang) > 1:
             other = rng.choice([k for k in sorted(by_lang) if k != lang])
             b = rng.choice(by_lang[other])[1]
             if "```" not in b:
@@ -446,26 +464,25 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
                 name = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "pt": "Portuguese", "ru": "Russian"}.get(other)
                 if name:
                     add(rng.choice(("Translate this into {}:\n{}", "Please answer in {}. {}")).format(name, q), b, None)
-        elif kind == 7:  # sound answers without full stops: lists, bare sentences, one word
+        if 5 in kinds:  # sound answers without full stops: lists, bare sentences, one word
             parts = [re.sub(r"[.!?]+$", "", p) for p in clauses(a) if not p.startswith("```")]
             style = rng.randrange(4)
             if parts:
-                s = "\n".join(f"- {p}" for p in parts) if style < 2 else " ".join(parts) if style == 2 else rng.choice((parts[0].split()[0], "42", "true", "Yes", "B", "- " + parts[0]))
+                s = "\n".join(f"- {p}" for p in parts) if style < 2 else " ".join(parts) if style == 2 else rng.choice((parts[0].split()[0], " ".join(parts[-1].split()[-2:]), f"{rng.randrange(1, 999)} {parts[-1].split()[-1]}", str(rng.randrange(2048)), "true", "Yes", "B", "- " + parts[0]))
                 add(q, s, None)
-        elif kind == 8:  # the question or a refusal is quoted, and the answer goes on
+        if 6 in kinds:  # the question or a refusal is quoted, and the answer goes on
             r = rng.randrange(4)
-            lead = (f"You ask: {q.splitlines()[0]} ", f'"{q.splitlines()[0]}" ', 'The old assistant always wrote "' + make_refusal(q, lang, rng).rstrip(".!") + '", yet ', rng.choice(NEAR_REFUSALS) + " ")[r]
+            lead = (f"You ask: {q.splitlines()[0]} ", f'"{q.splitlines()[0]}" ', rng.choice(('Someone replied "', 'The first draft said "', 'It used to print "')) + make_refusal(q, lang, rng).rstrip(".!") + rng.choice(('", but ', '", and still ', '"; ')), rng.choice(NEAR_REFUSALS) + " ")[r]
             add(q, lead + a, None)
-        elif kind == 9:  # a changed copy was asked for
+        if 7 in kinds:  # a changed copy was asked for
             t = clauses(a)[0]
             if not t.startswith("```"):
                 how = rng.randrange(3)
                 ask, s = (("Put this in lower case letters:", t.lower()), ("Remove the final punctuation mark:", t.rstrip(".!?")), ("Write the sentence in upper case:", t.upper()))[how]
                 add(f"{ask}\n{t}", s, None)
-        elif kind == 10:
-            parts = clauses(a)
-            if len(parts) > 1 and not parts[0].startswith("```"):
-                add(q, parts[0], None)
+        parts = clauses(a)
+        if rng.random() < 0.1 and len(parts) > 1 and not parts[0].startswith("```"):
+            add(q, parts[0], None)
     return out
 
 
