@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import arithmetic, cleaning, extraction, logs, masks, sampling, tokenization
 
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def clean_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
-
-
-QUERIES = {"clean_report": clean_report}
-SQL = {"clean_report": "select lang, count(*) as docs, cast(sum(length(text)) as bigint) as chars from documents group by lang"}
+_MODULES = (cleaning, extraction, tokenization, masks, logs, sampling, arithmetic)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
