@@ -235,3 +235,35 @@ def chat_export(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     named = kept.withColumn(role, F.when(known.isin(*ROLES), known).otherwise("user")).withColumn(text, F.trim(text))
     out = render_turns(named, conv, turn, role, text)
     return out.select(conv, F.concat("text", F.lit("\n<|endoftext|>\n\n")).alias("text"))
+
+
+def text_of_row(row: object, text_key: str = "text", text_columns: tuple[str, ...] = ()) -> str | None:
+    """As `extract_text`, for one row of a source whose rows have no common schema. None where no rule applies."""
+    if isinstance(row, str):
+        return row
+    if not isinstance(row, dict):
+        return _plain(row)
+    cell = lambda k: render_messages(row[k]) if k in ("messages", "conversations") else _plain(row[k])
+    own = [c for c in text_columns if row.get(c) is not None]
+    if parts := [t for t in map(cell, own) if t.strip()]:
+        return "\n".join(parts)
+    if text_key in row:
+        return cell(text_key) if row[text_key] is not None else ""
+    for name in ("messages", "conversations"):
+        if name in row:
+            return cell(name)
+    if "instruction" in row and row.keys() & {"input", "output", "response"}:
+        prompt = "\n".join(_plain(row[k]) for k in ("instruction", "input") if row.get(k))
+        answer = _plain(row["output"] if "output" in row else row.get("response"))
+        return f"<|user|>\n{prompt}\n<|assistant|>\n{answer}" if answer else prompt
+    if "prompt" in row and row.keys() & {"completion", "response"}:
+        return "\n".join(_plain(v) for v in (row["prompt"], row.get("completion", row.get("response"))) if v)
+    scored = []
+    for key, value in row.items():
+        if value is None or isinstance(value, (bool, int, float)):
+            continue
+        text, low = _plain(value), key.lower()
+        if text.strip():
+            bonus = 100_000 * (low == text_key.lower()) + 50_000 * (low in TEXT_HINTS) + 10_000 * any(h in low for h in TEXT_HINTS)
+            scored.append((min(len(text), 4096) + bonus, key))
+    return _plain(row[max(scored)[1]]) if scored else None

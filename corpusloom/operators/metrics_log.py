@@ -76,7 +76,8 @@ def cumulative(points: DataFrame, tokens_per_step: int, by: str = "run_id", orde
 def throughput(df: DataFrame, tokens_per_step: int, by: str = "run_id", order: str = "step", at: str = "logged_at") -> DataFrame:
     """Tokens a second between neighbouring rows of a run."""
     run = Window.partitionBy(by).orderBy(order)
-    seconds = (F.unix_micros(at) - F.lag(F.unix_micros(at)).over(run)) / 1e6
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    seconds = (micros - F.lag(micros).over(run)) / 1e6
     steps = F.col(order) - F.lag(order).over(run)
     return df.select(by, order, F.when(seconds > 0, steps * tokens_per_step / seconds).alias("tokens_per_s"))
 
