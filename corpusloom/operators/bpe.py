@@ -118,12 +118,15 @@ def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut
             break
         left, right, new = top[0].l, top[0].r, BPE_OFFSET + 256 + len(out)
         out.append((left, right))
-
-        @F.arrow_udf("array<int>")
-        def apply(values: pa.Array, left=left, right=right, new=new) -> pa.Array:
-            return pa.array([merge(v, left, right, new) for v in values.to_pylist()], pa.list_(pa.int32()))
-
-        words = words.withColumn("ids", F.when(F.array_contains("ids", left) & F.array_contains("ids", right), apply("ids")).otherwise(F.col("ids")))
+        words = words.withColumn("ids", F.when(F.array_contains("ids", left) & F.array_contains("ids", right), _merged(F.col("ids"), left, right, new)).otherwise(F.col("ids")))
         if len(out) % cut_every == 0:
             words = materialize(words, "words")
     return out
+
+
+def _merged(c: Column, left: int, right: int, new: int) -> Column:
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([merge(v, left, right, new) for v in values.to_pylist()], pa.list_(pa.int32()))
+
+    return run(c)
