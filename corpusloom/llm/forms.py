@@ -142,6 +142,7 @@ def form_codes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.nd
     line feed, and where each text starts (one more entry for the end)."""
     form, hard, low, _ = tables()
     table = low if lower else form
+    given = texts
     texts = [t.strip() for t in texts]
     if any("\r\n" in t for t in texts):
         texts = [t.replace("\r\n", "\n") for t in texts]
@@ -152,7 +153,7 @@ def form_codes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.nd
     if bad.any():
         which = np.unique(np.searchsorted(starts, np.flatnonzero(bad), side="right") - 1)
         for i in which.tolist():
-            s = visual_form(texts[i])
+            s = visual_form(given[i])
             texts[i] = s.lower() if lower else s
         done = np.zeros(len(texts), bool)
         done[which] = True
