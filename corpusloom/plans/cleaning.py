@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import clean, dedup
+from corpusloom.session import spread
 
 from .common import read, sql_clean, sql_lines, sql_no_nul, sql_normalize, sql_rstrip, sql_strip
 
@@ -17,6 +18,10 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents")
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_docs(spark, d))
+
+
 def _digest(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("doc_id", F.length(text).alias("chars"), F.md5(text).alias("digest"))
 
@@ -30,7 +35,7 @@ def clean_text(spark, d):
 
 
 def collapse_whitespace(spark, d):
-    return _digest(_docs(spark, d).withColumn("text", T.clean_text(F.col("text"), normalize_unicode=False, collapse_whitespace=True)))
+    return _digest(_spread(spark, d).withColumn("text", T.clean_text(F.col("text"), normalize_unicode=False, collapse_whitespace=True)))
 
 
 def sanitize_text(spark, d):
@@ -66,30 +71,30 @@ def anti_dedup_vs_corpus(spark, d):
 
 
 def clean_pipeline(spark, d):
-    out = clean.clean_records(_docs(spark, d), PLAIN, order="doc_id")
+    out = clean.clean_records(_spread(spark, d), PLAIN, order="doc_id")
     return out.select("doc_id", "source", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def clean_pipeline_full(spark, d):
     config = clean.CleaningConfig(max_chars=4000, collapse_whitespace=True, lang_filter="en", normalize_unicode=False)
-    return _digest(clean.clean_records(_docs(spark, d), config, order="doc_id"))
+    return _digest(clean.clean_records(_spread(spark, d), config, order="doc_id"))
 
 
 def clean_report(spark, d):
-    out = clean.clean_records(_docs(spark, d), PLAIN, order="doc_id").withColumn("label", T.language_label(F.col("text")))
+    out = clean.clean_records(_spread(spark, d), PLAIN, order="doc_id").withColumn("label", T.language_label(F.col("text")))
     return out.groupBy("label").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 def simhash_md5(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", dedup.simhash(F.col("text"), "md5").alias("simhash"))
+    return _spread(spark, d).where("text is not null").select("doc_id", dedup.simhash(F.col("text"), "md5").alias("simhash"))
 
 
 def near_dup_pairs(spark, d):
-    return dedup.near_pairs(_docs(spark, d), "doc_id", algorithm="md5")
+    return dedup.near_pairs(_spread(spark, d), "doc_id", algorithm="md5")
 
 
 def near_dup_filter(spark, d):
-    docs = clean.clean_records(_docs(spark, d), PLAIN, order="doc_id")
+    docs = clean.clean_records(_spread(spark, d), PLAIN, order="doc_id")
     return dedup.near_dedup(docs, order="doc_id").select("doc_id")
 
 

@@ -81,3 +81,12 @@ def release(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", str(os.cpu_count() or 8)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores, where its files give fewer than half as many partitions as there are cores; larger scans stay as they are.
+
+    For scans only: the number of partitions of a plan with shuffles is known after running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
