@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 from . import binpack, budget, encode, looks, mixing, mojibake, near_dup, overlap, pairs
 
 
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def _read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table, over all cores where its files are few."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df.select(*columns)) if columns else df
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = near_dup.near_duplicate_pairs(_read(spark, d, "records"), "record_id", "text", threshold=0.6, shingle=3, least_words=30)
+    found = near_dup.near_duplicate_pairs(_read(spark, d, "records", "record_id", "text"), "record_id", "text", threshold=0.6, shingle=3, least_words=30)
     return found.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = looks.same_look_pairs(_read(spark, d, "records"), "record_id", "text", least_chars=16)
+    found = looks.same_look_pairs(_read(spark, d, "records", "record_id", "text"), "record_id", "text", least_chars=16)
     return found.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
 def _p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.split_overlaps(_read(spark, d, "records"), threshold=0.6, shingle=3, least_words=30, least_chars=16)
+    return overlap.split_overlaps(_read(spark, d, "records", "record_id", "text", "split_name"), threshold=0.6, shingle=3, least_words=30, least_chars=16)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,23 +65,23 @@ def p4_byte_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return encode.count_tokens(_read(spark, d, "documents").select("doc_id", "text"))
+    return encode.count_tokens(_read(spark, d, "documents", "doc_id", "text"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_table(_read(spark, d, "documents"))
+    return encode.encode_table(_read(spark, d, "documents", "doc_id", "text"))
 
 
 def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return binpack.pack_texts(_read(spark, d, "documents"))
+    return binpack.pack_texts(_read(spark, d, "documents", "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled(_read(spark, d, "documents")).select("doc_id")
+    return mojibake.garbled(_read(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id")
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled(_read(spark, d, "documents"))
+    return mojibake.garbled(_read(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 QUERIES = {
