@@ -95,9 +95,9 @@ def split_by_source(spark, d):
 
 
 def zipped_labels(spark, d):
-    rows = _texts(spark, d).select("doc_id", byte_encode(F.col("text")).alias("ids"))
-    pairs = F.arrays_zip(F.slice("ids", 1, 50).alias("x"), F.slice("ids", 2, 50).alias("y"))
-    return rows.where(F.size("ids") > 50).select("doc_id", F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + p["x"] * p["y"]).alias("product"))
+    rows = _texts(spark, d).select("doc_id", byte_encode(F.col("text")).alias("ids")).where(F.size("ids") > 1)
+    pairs = F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("x"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("y"))
+    return rows.select("doc_id", F.aggregate(pairs, F.lit(0).cast("long"), lambda a, p: a + p["x"] * p["y"]).alias("product"))
 
 
 QUERIES = {
@@ -167,5 +167,5 @@ SQL = {
     "hash_split": f"select doc_id, {_SPLIT.format(k='doc_id', f=0.1)} as split from documents",
     "split_guarantee": "select 'train' as split, count(*) as n from documents union all select 'val', cast(1 as bigint)",
     "split_by_source": f"select source, {_SPLIT.format(k='record_id', f=0.1)} as split, count(*) as n from (select distinct record_id, source from records) group by 1, 2",
-    "zipped_labels": f"select doc_id, cast(list_sum(list_transform(range(1, 51), lambda j: ids[j] * ids[j + 1])) as bigint) as product from (select doc_id, {_IDS} as ids from documents where text is not null) where len(ids) > 50",
+    "zipped_labels": f"select doc_id, cast(list_sum(list_transform(range(1, len(ids)), lambda j: ids[j] * ids[j + 1])) as bigint) as product from (select doc_id, {_IDS} as ids from documents where text is not null) where len(ids) > 1",
 }

@@ -82,9 +82,7 @@ def bpe_encode_stats(spark, d):
 
 
 def ngram_ban(spark, d):
-    rows = _docs(spark, d).where("text is not null").select("doc_id", F.slice(tokens.byte_encode(F.col("text")), -200, 200).alias("ids"))
-    short = _docs(spark, d).where("text is not null and octet_length(text) < 200").select("doc_id", tokens.byte_encode(F.col("text")).alias("ids"))
-    rows = rows.where(F.size("ids") > 0).unionByName(short)
+    rows = _docs(spark, d).where("text is not null").select("doc_id", tokens.byte_encode(F.col("text")).alias("ids"))
     return rows.select("doc_id", F.array_join(stats.banned_next(F.col("ids"), 3), ",").alias("banned"))
 
 
@@ -130,7 +128,7 @@ SQL = {
     "line_freq": "select md5(text) as digest, count(*) as n from documents where text <> '' group by text",
     "pair_counts": _PAIRS,
     "best_pair": f"select * from ({_PAIRS}) order by n desc, l, r limit 1",
-    "ngram_ban": f"""with s as (select doc_id, ids[-200:] as ids from ({_IDS})), h as (select doc_id, ids, len(ids) as m, unnest(range(1, len(ids) - 1)) as i from s),
+    "ngram_ban": f"""with s as ({_IDS}), h as (select doc_id, ids, len(ids) as m, unnest(range(1, len(ids) - 1)) as i from s),
         b as (select doc_id, list_sort(list_distinct(list(ids[i + 2]))) as banned from h where ids[i] = ids[m - 1] and ids[i + 1] = ids[m] group by 1)
         select doc_id, coalesce(array_to_string(banned, ','), '') as banned from s left join b using (doc_id)""",
     "repetition_score": f"""with g as (select doc_id, ids, unnest(range(1, len(ids) - 1)) as i from ({_IDS})), n as (select doc_id, 1.0::double - count(distinct (ids[i], ids[i + 1], ids[i + 2])) / count(*)::double as score from g group by 1)
