@@ -5,6 +5,8 @@ Records have the columns of `corpusloom.records`; null texts count as records wi
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,3 +149,23 @@ def banned_next(ids: Column, n: int) -> Column:
     return F.when(m >= n, F.array_sort(F.array_distinct(F.transform(hit, lambda i: F.element_at(ids, i + (n - 1)))))).otherwise(F.array().cast("array<int>"))
 
 
+def tokenizer_benchmark(df: DataFrame, encode, text_col: str = "text") -> dict:
+    """Characters and tokens a second of a tokenizer over all texts; counted on the executors, timed on the driver."""
+    began = time.perf_counter()
+    row = df.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("records"), F.sum(F.length(text_col)).alias("chars"), F.sum(F.size(encode(F.col(text_col)))).alias("tokens")).first()
+    seconds = max(time.perf_counter() - began, 1e-9)
+    chars, tokens = row.chars or 0, row.tokens or 0
+    return {"records": row.records, "characters": chars, "tokens": tokens, "seconds": seconds, "chars_per_s": chars / seconds, "tokens_per_s": tokens / seconds}
+
+
+def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str = "key", ids_col: str = "ids") -> DataFrame:
+    """`(key, length)`: of each id sequence, the longest of `prefixes(ids)` that it begins with; 0 where none.
+
+    Sequences are cut at the lengths that prefixes have (few, as cached prefixes are) and joined by hash, not compared in pairs.
+    """
+    sizes = F.broadcast(prefixes.select(F.size(ids_col).alias("length")).distinct().agg(F.collect_set("length").alias("lengths")))  # one row
+    cuts = queries.select(key, ids_col).crossJoin(sizes).select(key, ids_col, F.explode_outer(F.filter("lengths", lambda n: n <= F.size(ids_col))).alias("length"))
+    hashed = cuts.select(key, "length", F.xxhash64(F.slice(ids_col, F.lit(1), F.coalesce("length", F.lit(0)))).alias("h"))
+    known = prefixes.select(F.size(ids_col).alias("length"), F.xxhash64(ids_col).alias("h")).distinct().withColumn("hit", F.lit(True))
+    found = hashed.join(known, ["length", "h"], "left")
+    return found.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("length"))), F.lit(0)).alias("length"))

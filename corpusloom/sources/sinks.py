@@ -75,3 +75,9 @@ class MetricLog:
                 except ValueError:
                     continue
         return rows[-limit:]
+
+
+def newest_checkpoints(folder: str, suffix: str = ".pt") -> list[str]:
+    """Checkpoint files of a folder, the last name first."""
+    names = os.listdir(folder) if os.path.isdir(folder) else []
+    return [os.path.join(folder, n) for n in sorted(names, reverse=True) if n.endswith(suffix)]

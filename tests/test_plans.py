@@ -57,3 +57,22 @@ def test_turns_out_of_order_and_twice(spark):
     assert got == {1: "<|user|>\nq\n<|assistant|>\na\n<|user|>\n", 2: "<|assistant|>\n"}
     script = {r.conv_id: r.text for r in extract.chat_export(df).collect()}
     assert script == {1: "<|user|>\nq\n<|assistant|>\na\n<|endoftext|>\n\n"}
+
+
+def test_longest_prefix(spark):
+    q = spark.createDataFrame([("a", [1, 2, 3, 4]), ("b", [1, 2]), ("c", [9]), ("d", [])], "key string, ids array<int>")
+    p = spark.createDataFrame([([1],), ([1, 2, 3],), ([1, 3],), ([1, 2, 3, 4, 5],)], "ids array<int>")
+    assert {r.key: r.length for r in stats.longest_prefix(q, p).collect()} == {"a": 3, "b": 1, "c": 0, "d": 0}
+    assert {r.length for r in stats.longest_prefix(q, p.limit(0)).collect()} == {0}
+
+
+def test_tokenizer_benchmark_and_checkpoints(table, tmp_path):
+    from corpusloom.operators.tokens import byte_encode
+    from corpusloom.sources.sinks import newest_checkpoints
+
+    said = stats.tokenizer_benchmark(table, byte_encode)
+    assert said["records"] == 400 and said["tokens"] == said["characters"] > 0 and said["tokens_per_s"] > 0
+    for n in ("step_1.pt", "step_2.pt", "x.json"):
+        (tmp_path / n).write_text("")
+    assert [p.rsplit("/", 1)[1] for p in newest_checkpoints(str(tmp_path))] == ["step_2.pt", "step_1.pt"]
+    assert newest_checkpoints(str(tmp_path / "none")) == []
