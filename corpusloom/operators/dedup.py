@@ -21,20 +21,30 @@ _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 
 
 def text_key(c: Column) -> Column:
-    """128 bits that stand for a text."""
-    return F.unhex(F.md5(c))
+    """128 bits that stand for a text; null has a key of its own."""
+    return F.coalesce(F.unhex(F.md5(c)), F.lit(b""))
+
+
+def _repeated(df: DataFrame, text_col: str, order: str) -> DataFrame:
+    """`(_key, _first)` of the texts that occur more than once: counted on keys and hashes, with partial sums in each task."""
+    keys = df.select(F.col(order).alias("_o"), text_key(F.col(text_col)).alias("_key"))
+    return keys.groupBy("_key").agg(F.min("_o").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
 
 
 def repeats(df: DataFrame, text_col: str = "text", order: str = "ord") -> DataFrame:
     """The order keys of all rows whose text an earlier row has. Only keys and hashes are shuffled, never texts."""
-    narrow = df.select(F.col(order), text_key(F.col(text_col)).alias("key"))
-    first = narrow.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return narrow.join(first, narrow.key.eqNullSafe(first.key)).where(F.col(order) != F.col("first")).select(order)
+    keys = df.select(F.col(order), text_key(F.col(text_col)).alias("_key"))
+    return keys.join(_repeated(df, text_col, order), "_key").where(F.col(order) != F.col("_first")).select(order)
 
 
 def exact_dedup(df: DataFrame, text_col: str = "text", order: str = "ord") -> DataFrame:
-    """Rows whose text occurs first in `order`. The few later repeats are removed by an anti-join that AQE may broadcast."""
-    return df.join(repeats(df, text_col, order), order, "left_anti")
+    """Rows whose text occurs first in `order`.
+
+    One pass counts hashes, a second keeps the first of each repeated one. The repeated hashes are few as a rule, so AQE
+    broadcasts them and no text is shuffled; where they are many, the join is shuffled, and hot hashes are split.
+    """
+    marked = df.withColumn("_key", text_key(F.col(text_col))).join(_repeated(df, text_col, order), "_key", "left")
+    return marked.where(F.col("_first").isNull() | (F.col(order) == F.col("_first"))).select(*df.columns)
 
 
 def without_seen(df: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
