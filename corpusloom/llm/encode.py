@@ -339,13 +339,16 @@ def encode_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([ids, lists], [id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", tokenizer: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> DataFrame:
-    """The columns of `df` but the text, with `tokens`: the number of ids of each row's text (0 for null and empty)."""
+    """The columns of `df` but the text, with `tokens`: the number of ids of each row's text (0 for null and empty).
+
+    A column `tokens` of `df` is replaced.
+    """
     shared = SharedVocabulary(df.sparkSession, tokenizer, directory)
-    keep = [c for c in df.columns if c != text_col]
+    keep = [c for c in df.columns if c not in (text_col, "tokens")]
 
     def run(it):
         enc = task_encoder(shared)
@@ -371,5 +374,5 @@ def count_tokens(df: DataFrame, text_col: str = "text", tokenizer: str = "byte_b
                 tokens[ix] = np.diff(np.concatenate([[0], total]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(tokens)], [*keep, "tokens"])
 
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text_col).alias("text")).mapInArrow(run, f"{types}, tokens long")
+    types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{types}tokens long")

@@ -58,10 +58,6 @@ LIMIT = 0x110000
 BATCH_CHARS = 1 << 20
 
 
-def _ignorable(cp: int) -> bool:
-    return any(a <= cp <= b for a, b in IGNORABLE)
-
-
 @functools.cache
 def _mapped() -> tuple[int, ...]:
     """Code points that normalisation may change, or that join with others."""

@@ -55,6 +55,8 @@ def test_tables(spark, library, monkeypatch):
     counts = {r.doc_id: r.tokens for r in encode.count_tokens(df.select("doc_id", "text")).collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     assert encode.encode_table(df.limit(0)).count() == 0
+    clash = df.select(df.doc_id.alias("tokens"), df.text.alias("body"), df.ids.alias("text"))
+    assert sorted(r.tokens for r in encode.count_tokens(clash, "body").collect()) == sorted(counts.values())
 
 
 def test_totals(spark):
