@@ -1,15 +1,14 @@
 """Text that was read in a wrong character encoding (problem 9).
 
-Method: minimum description length. Each suspicious stretch of text is encoded back and decoded by every
+Method: minimum description length. Each stretch of text that isn't ASCII is encoded back and decoded by every
 plausible chain of encodings; original and candidates are compressed with a zstandard dictionary
 of their language, and the chain of the least description length (compressed bytes, a cost for
-each step of the chain, and a cost for characters the corpus does not use) wins. Where the original
+each step of the chain, and a cost for characters foreign to the language) wins. Where the original
 is the shortest, it is left unchanged.
 
-The dictionaries are trained on a bounded sample of the documents of each language (`SAMPLE` texts each);
-which characters a language uses is counted over all documents. Only documents that may be garbled are
-compressed: they hold a run of characters that is valid UTF-8 under some chain, a character that
-is unusual for their language, upper case within non-ASCII words, or a replacement character.
+The dictionaries are trained on a bounded sample of the distinct documents of each language (`SAMPLE` texts each);
+which characters a language uses is a fixed alphabet, so garbled text, however often it is repeated, makes
+nothing usual. A single-byte decoding is a candidate where it holds no more foreign characters than the text.
 A sequence that stands alone and means no word or sign in its place is an example of
 garbled text, not a case; so is one in quotation marks.
 
@@ -23,6 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import unicodedata
 from collections import defaultdict
 
 import pyarrow as pa
@@ -35,11 +35,11 @@ from .budget import language_code
 #: Texts per language that a dictionary is trained on, at most; and the dictionary's bytes.
 SAMPLE = 600
 DICTIONARY_BYTES = 48_000
-#: Share of a language's documents that hold a character for it to be usual there.
-USUAL = 0.04
-#: Description length, in bytes, of a step of a chain and of a character that the corpus hardly uses.
+#: Description length, in bytes, of a step of a chain and of a character foreign to the language.
 STEP_COST = 2
 STRANGE_COST = 3
+#: Bytes by which a single-byte decoding of sound text can be shorter by chance; charged where it removes no strange character.
+CHANCE = 8
 #: Compression level; the texts are short, higher ones gain nothing.
 LEVEL = 5
 
@@ -53,7 +53,28 @@ STORED = {
 # Languages of the dictionaries, by the script of their encodings.
 WEST = ("en", "de", "fr", "es", "pt")
 LANGUAGES = (*WEST, "ru", "ja")
+# The characters beyond ASCII that each language is written with; of kanji, those of the first level of JIS.
+_MARKS = "“”‘’–—…€°"
+ALPHABETS = {k: frozenset(_MARKS + v) for k, v in {
+    "en": "éèêëïöñç£",
+    "de": "äöüßÄÖÜẞé„‚«»›‹§",
+    "fr": "àâæçéèêëîïôœùûüÿÀÂÆÇÉÈÊËÎÏÔŒÙÛÜŸ«»",
+    "es": "áéíóúüñÁÉÍÓÚÜÑ¿¡«»ºª",
+    "pt": "àáâãçéêíóôõúüÀÁÂÃÇÉÊÍÓÔÕÚÜ«»ºª",
+    "ru": "".join(map(chr, range(0x410, 0x450))) + "ёЁ«»„№",
+    "ja": "".join(map(chr, (*range(0x3001, 0x3018), *range(0x3041, 0x3097), *range(0x30A1, 0x30FF), *range(0xFF01, 0xFF5F)))) + "".join(
+        bytes([a, b]).decode("shift_jis", "ignore") for a in range(0x88, 0x99) for b in range(0x40, 0xFD) if (a, b) >= (0x88, 0x9F) and (a, b) <= (0x98, 0x72)),
+}.items()}
+_KNOWN = frozenset().union(*ALPHABETS.values())
+# Words of one or two letters that a wrong decoding can garble as a whole, by language.
+SHORT_WORDS = {
+    "fr": ("à", "ça", "où"), "pt": ("à", "é", "às", "só", "há", "já", "aí"), "es": ("él", "tú", "sí", "sé", "té", "mí", "ó"), "de": ("öl",),
+    "ru": ("я", "а", "и", "в", "о", "к", "с", "у", "не", "но", "на", "по", "от", "до", "из", "за", "со", "во", "ты", "мы", "вы", "он", "их", "её", "да", "же", "бы", "ли", "то", "об"),
+}
+_ANY_WORD = frozenset().union(*SHORT_WORDS.values())
 
+_ASCII = frozenset(map(chr, range(128)))
+_BEYOND = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _INVERTED = re.compile(r"[^\W\d_A-Za-z]*[а-яё][А-ЯЁ]{2}|[à-öø-ÿ][À-ÖØ-Þ]{2}")
 _CUT = re.compile(r"(?<=[.!?…。])[ \t]+|\n")
@@ -130,18 +151,78 @@ def undo_single(text: str, read_as: str, stored: str) -> str | None:
     return got if got != text else None
 
 
+@functools.cache
+def _starts(encoding: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The characters of an encoding whose bytes can be the first and the second of a UTF-8 sequence."""
+    table = _to_byte(encoding).items()
+    return frozenset(c for c, b in table if b"\xc2" <= b <= b"\xf4"), frozenset(c for c, b in table if b"\x80" <= b <= b"\xbf")
+
+
+@functools.lru_cache(maxsize=200_000)
+def _undoable(run: str) -> tuple[str, ...]:
+    """The encodings that the run can be UTF-8 read as."""
+    out = []
+    for e in READ_AS:
+        first, second = _starts(e)
+        if (not first or run[0] in first and run[1] in second) and _undo_run(run, e):
+            out.append(e)
+    return tuple(out)
+
+
+@functools.cache
+def _single_map(read_as: str, stored: str) -> tuple[dict[int, str], frozenset[str]]:
+    """Character by character, what `undo_single` makes of a text; and the characters whose bytes `stored` leaves open."""
+    out, undefined = {}, set()
+    for c, b in _to_byte(read_as).items():
+        try:
+            out[ord(c)] = b.decode(stored)
+        except UnicodeDecodeError:
+            undefined.add(c)
+    return out, frozenset(undefined)
+
+
+@functools.cache
+def _made_foreign(read_as: str, stored: str, lang: str) -> frozenset[str]:
+    """The characters that become letters foreign to the language."""
+    return frozenset(chr(c) for c, got in _single_map(read_as, stored)[0].items() if got.isalpha() and got not in ALPHABETS.get(lang, _KNOWN))
+
+
+@functools.lru_cache(maxsize=50_000)
+def _single_steps(chars: frozenset[str], langs: tuple[str, ...], odd: int) -> tuple[tuple[str, str, dict[int, str] | None], ...]:
+    """`(read as, stored, map of characters)` that can turn a text of these non-ASCII characters, `odd` of them strange, into one with no more strange ones.
+
+    Of those with the same result, the first; no map where the characters don't decide one by one.
+    """
+    out, known = [], set()
+    for s in (s for k, names in STORED.items() if (k == "west" and set(langs) & set(WEST)) or k in langs for s in names):
+        for e in READ_AS:
+            table = _to_byte(e)
+            if e == s or (table and not chars & table.keys()):
+                continue
+            one = None
+            if table and s not in STORED["ja"] and not chars & (found := _single_map(e, s))[1]:
+                if min(len(chars & _made_foreign(e, s, lang)) for lang in langs) > odd:
+                    continue
+                one = found[0]
+                key = frozenset((c, g) for c in chars if (g := one.get(ord(c), c)) != c)
+                if not key or key in known:
+                    continue
+                known.add(key)
+            out.append((e, s, one))
+    return tuple(out)
+
+
 class Model:
-    """Compressors of each language, and the characters usual in each."""
+    """Compressors of each language."""
 
-    def __init__(self, dictionaries: dict[str, bytes], usual: dict[str, frozenset[str]]):
-        self.dictionaries, self.usual = dictionaries, usual
-        self.any = frozenset().union(*usual.values()) if usual else frozenset()
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.dictionaries = dictionaries
 
     def __getstate__(self):
-        return self.dictionaries, self.usual
+        return self.dictionaries
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.__init__(state)
 
     @functools.cached_property
     def compressors(self) -> dict[str, zstandard.ZstdCompressor]:
@@ -159,25 +240,49 @@ class Model:
         known = [lang for lang in langs if lang in self.compressors]
         return min((len(self.compressors[lang].compress(raw)) + STRANGE_COST * self.strange(text, (lang,)) for lang in known), default=len(raw))
 
-    def strange(self, text: str, langs: tuple[str, ...]) -> int:
-        """How many different characters of `text` are unusual in the language that it suits best."""
-        chars = {c for c in set(text) if c > "\x7f" and not _pictorial(c)}
-        return min((len(chars - self.usual.get(lang, self.any)) for lang in langs), default=0)
-
-    def plausible(self, got: str) -> bool:
-        """Whether a decoded run is made of characters that the corpus uses."""
-        odd = sum(not (c < "\x80" or c in self.any or _pictorial(c)) for c in got)
+    @staticmethod
+    def strange(text: str, langs: tuple[str, ...], most: int = 1 << 30) -> int:
+        """How many different characters of `text` don't belong where they are, in the language that it suits best; above `most`, any number above it.
+
+        Letters foreign to the language, letters that stand alone and are no word, capitals after a small letter, signs in a word, and signs that touch a letter
+        but for those of the language.
+        """
+        least = None
+        for lang in langs:
+            alphabet, words, odd = ALPHABETS.get(lang, _KNOWN), SHORT_WORDS.get(lang, _ANY_WORD), set()
+            for m in _BEYOND.finditer(text):
+                c, k = m.group(), m.start()
+                if c in odd:
+                    continue
+                before, after = text[k - 1 : k], text[k + 1 : k + 2]
+                if c.isalpha():
+                    if c not in alphabet or c.isupper() and before.islower() or c < "\u3000" and not before.isalnum() and not after.isalnum() and c.lower() not in words:
+                        odd.add(c)
+                elif unicodedata.category(c)[0] in "MC" and not _pictorial(c):  # marks and controls
+                    if c not in alphabet:
+                        odd.add(c)
+                elif before.isalpha() and after.isalpha() and c != "’" and before < "\u3000" and after < "\u3000" or (before.isalpha() or after.isalpha()) and c not in alphabet and not _pictorial(c):
+                    odd.add(c)
+                if len(odd) > most:
+                    break
+            least = len(odd) if least is None else min(least, len(odd))
+            most = min(most, least)
+        return least or 0
+
+    @staticmethod
+    def plausible(got: str) -> bool:
+        """Whether a decoded run is made of characters that the languages use."""
+        odd = sum(not (c < "\x80" or c in _KNOWN or _pictorial(c)) for c in got)
         return 2 * odd < len(got)
 
-    def suspicious(self, text: str, lang: str | None) -> bool:
-        if text.isascii():
-            return False
-        if "�" in text or _INVERTED.search(text):
-            return True
-        usual = self.usual.get(lang, self.any)
-        if any(c > "\x7f" and c not in usual and not _pictorial(c) for c in set(text)):
-            return True
-        return any((u := _undo_run(run, e)) and self.plausible(u) for run in set(_RUN.findall(text)) for e in READ_AS)
+
+def suspicious(text: str, lang: str | None) -> bool:
+    """Whether a text may be garbled, so that no dictionary should be trained on it."""
+    if text.isascii():
+        return False
+    if "�" in text or _INVERTED.search(text) or Model.strange(text, (lang or "",)):
+        return True
+    return any(run.isupper() or _undoable(run) for run in set(_RUN.findall(text)))
 
 
 def _pictorial(c: str) -> bool:
@@ -192,7 +297,7 @@ def candidates(text: str, langs: tuple[str, ...], model: Model) -> dict[str, tup
     for depth in (1, 2, 3):
         found: dict[str, tuple[int, tuple[str, ...]]] = {}
         for t, (_, chain) in fresh.items():
-            for e in READ_AS:
+            for e in sorted({e for run in set(_RUN.findall(t)) for e in _undoable(run)}, key=READ_AS.index):
                 got = undo_utf8(t, e)
                 if got != t and got not in out and got != text:
                     found.setdefault(got, (depth, (*chain, f"utf-8 as {e}")))
@@ -201,29 +306,15 @@ def candidates(text: str, langs: tuple[str, ...], model: Model) -> dict[str, tup
         if not fresh:
             break
     odd = model.strange(text, langs)
-    if not odd and not _INVERTED.search(text):
-        return out
-    stored = [(k, s) for k, names in STORED.items() for s in names if k == "west" and set(langs) & set(WEST) or k in langs]
-    chars = {c for c in text if c > "\x7f" and not _pictorial(c) and all(c not in model.usual.get(lang, model.any) for lang in langs)}
-    for e in READ_AS:
-        if e != "shift_jis" and 2 * len(chars & _to_byte(e).keys()) < len(chars):  # what is strange was read as this encoding
-            continue
-        for _, s in stored:
-            if e == s:
-                continue
-            got = undo_single(text, e, s)
-            if got is not None and got not in out and model.strange(got, langs) <= odd:
-                out[got] = (1, (f"{s} as {e}",))
+    tried = {text, None}
+    for e, s, one in _single_steps(frozenset(text) - _ASCII, langs, odd):
+        got = text.translate(one) if one else undo_single(text, e, s)
+        if got not in tried and got not in out and model.strange(got, langs, odd) <= odd:
+            out[got] = (1, (f"{s} as {e}",))
+        tried.add(got)
     return out
 
 
-# Words of one or two letters that a wrong decoding can garble as a whole, by language.
-SHORT_WORDS = {
-    "fr": ("à", "ça", "où"), "pt": ("à", "é", "às", "só", "há", "já", "aí"), "es": ("él", "tú", "sí", "sé", "té", "mí", "ó"), "de": ("öl",),
-    "ru": ("я", "а", "и", "в", "о", "к", "с", "у", "не", "но", "на", "по", "от", "до", "из", "за", "со", "во", "ты", "мы", "вы", "он", "их", "её", "да", "же", "бы", "ли", "то", "об"),
-}
-
-
 def is_example(text: str, start: int, end: int, got: str, lang: str | None) -> bool:
     """Whether a garbled sequence is shown rather than used: alone between blanks or quotation marks, and no word or sign there."""
     before, after = text[start - 1 : start], text[end : end + 1]
@@ -252,19 +343,23 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
         if not piece.isascii():
             if "�" in piece and any((piece[k.start() - 1 : k.start()] + piece[k.end() : k.end() + 1]).strip("\"'`") .isalpha() for k in re.finditer("�+", piece) if k.start()):
                 lost = affected = True
-            original = model.cost(piece, langs)
-            for got, (steps, chain) in candidates(piece, langs, model).items():
-                c = model.cost(got, langs) + STEP_COST * steps + (0 if chain[0].startswith("utf-8") else 1)
-                if c < original and (best is None or c < best[0]):
-                    best = (c, got, chain)
+            tried = candidates(piece, langs, model)
+            original, before = (model.cost(piece, langs), model.strange(piece, langs)) if tried else (0.0, 0)
+            for got, (steps, chain) in tried.items():
+                c = model.cost(got, langs) + STEP_COST * steps
+                odd = model.strange(got, langs)
+                if not chain[0].startswith("utf-8"):
+                    c += 1 if odd < before else CHANCE
+                if c < original and (best is None or (c, odd) < best[:2]):
+                    best = (c, odd, got, chain)
             if best:
-                if best[2][0].startswith("utf-8"):
-                    e = best[2][0].split(" as ")[1]
+                if best[3][0].startswith("utf-8"):
+                    e = best[3][0].split(" as ")[1]
                     seen = [is_example(piece, r.start(), r.end(), u, lang) for r in _RUN.finditer(piece) if (u := _undo_run(r.group(), e))]
                     shown.append(bool(seen) and all(seen))
                 else:
                     shown.append(False)
-                keep = best[1]
+                keep = best[2]
         parts += [keep, gap]
     if shown and not all(shown):
         affected = True
@@ -273,43 +368,17 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
     return affected, None if lost or not affected else "".join(parts)
 
 
-def usual_characters(df: DataFrame, share: float = USUAL) -> dict[str, frozenset[str]]:
-    """Per language, the non-ASCII characters that at least `share` of its documents hold; counted over all of `df(text, lang)`."""
-    code = language_code(F.col("lang")).alias("lang")
-    rows = df.where("text is not null").select(code, F.col("text")).where(F.col("lang").isin(*LANGUAGES))
-    total = rows.groupBy("lang").agg(F.count("*").alias("n"))
-
-    def run(it):
-        counts: dict[tuple[str, str], int] = defaultdict(int)
-        for batch in it:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text.isascii():
-                    for c in set(text):
-                        if c > "\x7f":
-                            counts[lang, c] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["lang", "c", "n"]
-        )
-
-    held = rows.mapInArrow(run, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("held"))
-    out: dict[str, set[str]] = defaultdict(set)
-    for lang, c in held.join(F.broadcast(total), "lang").where(F.col("held") >= F.col("n") * share).select("lang", "c").collect():  # at most 1/share times a text's alphabet
-        out[lang].add(c)
-    return {k: frozenset(v) for k, v in out.items()}
-
-
 def train_model(df: DataFrame, sample: int = SAMPLE) -> Model:
-    """Dictionaries from at most `sample` texts of each language without suspicious characters, and the usual characters."""
-    usual = usual_characters(df)
-    plain = Model({}, usual)
+    """Dictionaries from at most `sample` distinct texts of each language without suspicious characters."""
     code = language_code(F.col("lang")).alias("lang")
     rows = df.where("text is not null and length(text) between 50 and 20000").select(code, "text", F.xxhash64("text").alias("h")).where(F.col("lang").isin(*LANGUAGES))
     # the hash decides, so the sample is spread over the whole table and the same every time
-    size = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     part = F.pmod(F.col("h"), F.lit(1 << 20)) < F.ceil(F.lit(2.0 * sample * (1 << 20)) / F.col("n"))
     texts: dict[str, list[str]] = defaultdict(list)
-    for lang, text in rows.join(F.broadcast(size), "lang").where(part).orderBy("h").select("lang", "text").limit(4 * sample * len(LANGUAGES)).toLocalIterator():
-        if len(texts[lang]) < sample and not plain.suspicious(text, lang):
+    once = rows.join(F.broadcast(size), "lang").where(part).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    for lang, text in once.orderBy("h", "lang").select("lang", "text").limit(4 * sample * len(LANGUAGES)).toLocalIterator():
+        if len(texts[lang]) < sample and not suspicious(text, lang):
             texts[lang].append(text)
     trained = {}
     for lang, own in texts.items():
@@ -321,7 +390,7 @@ def train_model(df: DataFrame, sample: int = SAMPLE) -> Model:
                 trained[lang] = b"\n".join(parts)[-DICTIONARY_BYTES:]
         elif parts:
             trained[lang] = b"\n".join(parts)
-    return Model(trained, usual)
+    return Model(trained)
 
 
 def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -336,7 +405,7 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             ids, fixed = [], []
             langs = batch.column(2).to_pylist()
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if text and model.suspicious(text, langs[i]):
+                if text and not text.isascii():
                     hit, original = repair(text, langs[i], model)
                     if hit:
                         ids.append(i)

@@ -108,6 +108,18 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert mojibake.garbled(df.limit(0)).count() == 0
 
 
+def test_garbled_text_does_not_vote_itself_usual(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(" ".join(sentence(rng, lang) for _ in range(4)) for _ in range(2)), lang) for i, lang in enumerate(["ru", "fr", "es"] * 80)]
+    copied = " ".join(sentence(rng, "ru") for _ in range(4))
+    own = [" ".join(sentence(rng, "ru") for _ in range(4)) for _ in range(12)]
+    original = dict(enumerate([copied] * 30 + own, 1000))
+    rows += [(i, t.encode("cp1251").decode("cp1252"), "ru") for i, t in original.items()]
+    rows += [(i, "∂L/∂w ≈ 0.25 · √n, Δ ≤ 0.5 ± 0.1", lang) for i, lang in enumerate(("fr", "es", "ru"), 2000)]  # signs between figures are sound
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.restored for r in mojibake.garbled(df).collect()} == original
+
+
 def test_undoing_is_exact():
     text = "Größe – “naïve” café 🙂"
     for e in ("latin-1", "cp437", "cp850", "mac-roman"):
