@@ -12,8 +12,8 @@ nothing usual. A single-byte decoding is a candidate where it holds no more fore
 A sequence that stands alone and means no word or sign in its place is an example of
 garbled text, not a case; so is one in quotation marks.
 
-Defined cases: null and empty texts are sound; a replacement character in a word marks a document as
-affected but lost, its restored text is null; texts are read whole, however long; an empty
+Defined cases: null and empty texts are sound; a replacement character that touches a letter, a figure or garble,
+follows a sentence or makes up a word marks a document as affected but lost; no restored text holds one, it is null instead; texts are read whole, however long; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -55,7 +55,7 @@ WEST = ("en", "de", "fr", "es", "pt")
 LANGUAGES = (*WEST, "ru", "ja")
 # The characters beyond ASCII that each language is written with; of kanji, those of the first level of JIS.
 _MARKS = "“”‘’–—…€°"
-ALPHABETS = {k: frozenset(_MARKS + v) for k, v in {
+ALPHABETS = {k: frozenset(_MARKS + v) - frozenset("–—" if k == "ru" else "") for k, v in {  # Russian dashes touch no letter
     "en": "éèêëïöñç£",
     "de": "äöüßÄÖÜẞé„‚«»›‹§",
     "fr": "àâæçéèêëîïôœùûüÿÀÂÆÇÉÈÊËÎÏÔŒÙÛÜŸ«»",
@@ -328,10 +328,23 @@ def is_example(text: str, start: int, end: int, got: str, lang: str | None) -> b
     return all(c in "“”‘’„«»" for c in got)
 
 
+def lost_characters(text: str) -> bool:
+    """Whether a replacement character stands for a lost one, rather than for itself: it touches a letter, a figure or garble, makes up a word, or follows the end of a sentence."""
+    for m in re.finditer("�+", text):
+        before, after = text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]
+        if before and after and before in "\"'`“«„(‘" and after in "\"'`”»“)’":
+            continue
+        near = [c for c in (before.strip("\"'`"), after.strip("\"'`")) if c]
+        if len(m.group()) > 1 or before and before in ".!?" or any(c.isalnum() or c > "\x7f" and not c.isspace() and not _pictorial(c) and c not in "“”‘’„«»–—…" for c in near):
+            return True
+    return False
+
+
 def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]:
     """Whether `text` is garbled, and its original where nothing was lost."""
     langs = (lang,) if lang in model.compressors else tuple(model.compressors)
-    parts, at, affected, lost = [], 0, False, False
+    lost = affected = "�" in text and lost_characters(text)
+    parts, at = [], 0
     pieces = []
     for m in [*_CUT.finditer(text), None]:
         end = m.start() if m else len(text)
@@ -341,8 +354,6 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
     for piece, gap in pieces:
         best, keep = None, piece
         if not piece.isascii():
-            if "�" in piece and any((piece[k.start() - 1 : k.start()] + piece[k.end() : k.end() + 1]).strip("\"'`") .isalpha() for k in re.finditer("�+", piece) if k.start()):
-                lost = affected = True
             tried = candidates(piece, langs, model)
             original, before = (model.cost(piece, langs), model.strange(piece, langs)) if tried else (0.0, 0)
             for got, (steps, chain) in tried.items():
@@ -365,7 +376,8 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
         affected = True
     elif shown and not lost:
         return False, None
-    return affected, None if lost or not affected else "".join(parts)
+    original = "".join(parts)
+    return affected, None if lost or not affected or "�" in original else original
 
 
 def train_model(df: DataFrame, sample: int = SAMPLE) -> Model:

@@ -120,6 +120,17 @@ def test_garbled_text_does_not_vote_itself_usual(spark):
     assert {r.doc_id: r.restored for r in mojibake.garbled(df).collect()} == original
 
 
+@pytest.mark.parametrize("text", ["�ber der Stadt.", "Er sagt: �ber.", "Der Kaffee im Caf� ist alt.", "Das Caf�.", "It said â€œneverâ€�.\nMore.", "������ �� ����.", "He said “so.� Then", "20 �C"])
+def test_lost_characters_are_found(text):
+    model = mojibake.Model({"de": WORDS["de"].encode(), "en": WORDS["en"].encode()})
+    assert mojibake.repair(text, "de", model) == (True, None)
+
+
+@pytest.mark.parametrize("text", ["The sign \"�\" stands for a lost one.", "It is shown as �.", "(�)"])
+def test_a_shown_replacement_character_is_sound(text):
+    assert mojibake.repair(text, "en", mojibake.Model({"en": WORDS["en"].encode()})) == (False, None)
+
+
 def test_undoing_is_exact():
     text = "Größe – “naïve” café 🙂"
     for e in ("latin-1", "cp437", "cp850", "mac-roman"):
