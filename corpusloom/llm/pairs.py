@@ -240,7 +240,7 @@ def describe(question: str | None, answer: str, languages: Languages) -> tuple[l
             else:
                 f.append("lang?")
             words = _WORD.findall(p.casefold().replace("’", "'"))
-            plain = [w for w in words if w[0].isalpha() or w == "'"][:14]
+            plain = [w for w in words if w[0].isalpha() or w == "'"]
             quoted = p.lstrip()[:1] in "\"'«“„" or bool(re.search(r"[\"“«„].{8,}", p))
             f += [f"w{w}" for w in set(plain)] + [f"b{a}_{b}" for a, b in zip(plain, plain[1:])] + [f"t{a}_{b}_{c}" for a, b, c in zip(plain, plain[1:], plain[2:])]
             f += [f"quoted{quoted}", f"len{_step(len(words), 3, 6, 10, 16, 25)}"]

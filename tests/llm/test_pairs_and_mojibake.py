@@ -78,6 +78,14 @@ def test_stand_ins(a, empty):
     assert pairs.is_empty(a) is empty
 
 
+def test_late_words_of_a_clause_are_features():
+    languages = pairs.Languages([], [])
+    opening = "On the matter of the old river and the small boat near the green bank of the town, "
+    features = pairs.describe(None, opening + "I am afraid I cannot help.", languages)[1][0]
+    for k in ("wcannot", "bi_cannot", "ti_cannot_help"):
+        assert pairs._hash(k) % pairs.DIMENSIONS in features, k
+
+
 CHAINS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "mac-roman"), ("cp1252", "cp850"), ("cp1252", "mac-roman")]
 
 
