@@ -8,7 +8,8 @@ is the shortest, it is left unchanged.
 
 The dictionaries are trained on a bounded sample of the distinct documents of each language (`SAMPLE` texts each);
 which characters a language uses is a fixed alphabet, so garbled text, however often it is repeated, makes
-nothing usual. A single-byte decoding is a candidate where it holds no more foreign characters than the text.
+nothing usual. A single-byte decoding is a candidate where it holds no more foreign characters than the text and its other decodings.
+A text without a known language is judged by the two languages that describe its ASCII part best.
 A sequence that stands alone and means no word or sign in its place is an example of
 garbled text, not a case; so is one in quotation marks.
 
@@ -23,8 +24,8 @@ import functools
 import itertools
 import re
 import unicodedata
-from collections import defaultdict
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,12 +35,16 @@ from .budget import language_code
 
 #: Texts per language that a dictionary is trained on, at most; and the dictionary's bytes.
 SAMPLE = 600
+#: Characters that a text has which a dictionary is trained on, least and most; all texts are judged, whatever their length.
+SAMPLED_LENGTHS = (50, 20_000)
 DICTIONARY_BYTES = 48_000
 #: Description length, in bytes, of a step of a chain and of a character foreign to the language.
 STEP_COST = 2
 STRANGE_COST = 3
 #: Bytes by which a single-byte decoding of sound text can be shorter by chance; charged where it removes no strange character.
-CHANCE = 8
+CHANCE = 12
+#: Steps of the longest chain that is tried.
+MOST_STEPS = 3
 #: Compression level; the texts are short, higher ones gain nothing.
 LEVEL = 5
 
@@ -74,8 +79,10 @@ SHORT_WORDS = {
 _ANY_WORD = frozenset().union(*SHORT_WORDS.values())
 
 _ASCII = frozenset(map(chr, range(128)))
-_BEYOND = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_INNER = re.compile(r"(?<=[A-Za-z])[^\x00-\x7f](?=[A-Za-z])")
+_LATE = re.compile(r"(?<=[a-z])[^\x00-\x7f]")
 _INVERTED = re.compile(r"[^\W\d_A-Za-z]*[а-яё][А-ЯЁ]{2}|[à-öø-ÿ][À-ÖØ-Þ]{2}")
 _CUT = re.compile(r"(?<=[.!?…。])[ \t]+|\n")
 
@@ -182,36 +189,130 @@ def _single_map(read_as: str, stored: str) -> tuple[dict[int, str], frozenset[st
 
 
 @functools.cache
-def _made_foreign(read_as: str, stored: str, lang: str) -> frozenset[str]:
-    """The characters that become letters foreign to the language."""
-    return frozenset(chr(c) for c, got in _single_map(read_as, stored)[0].items() if got.isalpha() and got not in ALPHABETS.get(lang, _KNOWN))
+def _bits() -> dict[str, int]:
+    """A bit for each character of the single-byte encodings, so that sets of them are whole numbers."""
+    return {c: 1 << k for k, c in enumerate(sorted({c for e in READ_AS for c in _to_byte(e)}))}
 
 
-@functools.lru_cache(maxsize=50_000)
-def _single_steps(chars: frozenset[str], langs: tuple[str, ...], odd: int) -> tuple[tuple[str, str, dict[int, str] | None], ...]:
-    """`(read as, stored, map of characters)` that can turn a text of these non-ASCII characters, `odd` of them strange, into one with no more strange ones.
+def _mask(chars) -> int:
+    bits, out = _bits(), 0
+    for c in chars:
+        out |= bits.get(c, 0)
+    return out
 
-    Of those with the same result, the first; no map where the characters don't decide one by one.
-    """
-    out, known = [], set()
+
+@functools.cache
+def _steps(langs: tuple[str, ...]) -> tuple[tuple[str, str, bool, int, int, int, int, int, tuple[int, ...]], ...]:
+    """Every single-byte step of the languages: `(read as, stored, whether characters decide one by one, the characters that it reads, that
+    it leaves open, that it changes, that become signs, that become capitals, and that become letters foreign to each language)`."""
+    out = []
     for s in (s for k, names in STORED.items() if (k == "west" and set(langs) & set(WEST)) or k in langs for s in names):
         for e in READ_AS:
+            if e == s:
+                continue
             table = _to_byte(e)
-            if e == s or (table and not chars & table.keys()):
+            if not table or s in STORED["ja"]:
+                out.append((e, s, False, _mask(table), 0, 0, 0, 0, ()))
                 continue
-            one = None
-            if table and s not in STORED["ja"] and not chars & (found := _single_map(e, s))[1]:
-                if min(len(chars & _made_foreign(e, s, lang)) for lang in langs) > odd:
-                    continue
-                one = found[0]
-                key = frozenset((c, g) for c in chars if (g := one.get(ord(c), c)) != c)
-                if not key or key in known:
-                    continue
-                known.add(key)
-            out.append((e, s, one))
+            one, undefined = _single_map(e, s)
+            foreign = tuple(_mask(chr(c) for c, got in one.items() if got.isalpha() and got not in ALPHABETS.get(lang, _KNOWN)) for lang in langs)
+            signs = _mask(chr(c) for c, got in one.items() if not got.isalpha() and unicodedata.category(got)[0] not in "MC" and got != "’")
+            capitals = _mask(chr(c) for c, got in one.items() if got.isupper())
+            out.append((e, s, True, _mask(table), _mask(undefined), _mask(chr(c) for c, got in one.items() if got != chr(c)), signs, capitals, foreign))
     return tuple(out)
 
 
+def _single_steps(text: str, langs: tuple[str, ...], odd: int) -> list[tuple[str, str, dict[int, str] | None]]:
+    """`(read as, stored, map of characters)` that can turn a text with `odd` strange characters into one with no more of them.
+
+    Of those with the same result, the first; no map where the characters don't decide one by one. A step is left out early where the letters
+    that become foreign, signs between two letters and capitals after a small letter are too many by themselves.
+    """
+    chars = frozenset(text) - _ASCII
+    out, known, mask = [], set(), _mask(chars)
+    inner, late = _mask(_INNER.findall(text)), _mask(_LATE.findall(text))
+    bits, wide = _bits(), max(text) >= "\u3000"
+    unknown = any(c not in bits for c in chars)
+    for e, s, alone, read, undefined, changed, signs, capitals, foreign in _steps(langs):
+        if not (mask & read if read else wide):  # text read as one of two bytes a character holds Japanese characters
+            continue
+        one = None
+        if alone and mask & undefined:
+            if not unknown and not mask & ~read:  # the whole text would be decoded, and can't be
+                continue
+        elif alone:
+            if not mask & changed:
+                continue
+            bad = inner & signs | late & capitals
+            if bad.bit_count() > odd or min([(mask & f | bad).bit_count() for f in foreign]) > odd:
+                continue
+            one = _single_map(e, s)[0]
+            key = frozenset((c, g) for c in chars if (g := one.get(ord(c), c)) != c)
+            if key in known:
+                continue
+            known.add(key)
+        out.append((e, s, one))
+    return out
+
+
+_NONE: frozenset[str] = frozenset()
+
+
+def _odd(word: str, lang: str) -> frozenset[str]:
+    """The characters of a word (what stands between two blanks) that don't belong where they are: letters foreign to the language,
+    letters that stand alone and are no word, capitals after a small letter, signs in a word, and signs that touch a letter but for those of the language."""
+    alphabet, words, odd = ALPHABETS.get(lang, _KNOWN), SHORT_WORDS.get(lang, _ANY_WORD), set()
+    for k, c in enumerate(word):
+        if c < "\x80" or c in odd:
+            continue
+        before, after = word[k - 1 : k], word[k + 1 : k + 2]
+        if c.isalpha():
+            if c not in alphabet or c.isupper() and before.islower() or c < "\u3000" and not before.isalnum() and not after.isalnum() and c.lower() not in words:
+                odd.add(c)
+        elif unicodedata.category(c)[0] in "MC" and not _pictorial(c):  # marks and controls
+            if c not in alphabet:
+                odd.add(c)
+        elif before.isalpha() and after.isalpha() and c != "’" and before < "\u3000" and after < "\u3000" or (before.isalpha() or after.isalpha()) and c not in alphabet and not _pictorial(c):
+            odd.add(c)
+    return frozenset(odd) if odd else _NONE
+
+
+_odd_short = functools.lru_cache(maxsize=300_000)(_odd)
+
+
+@functools.lru_cache(maxsize=300_000)
+def _odd_mapped(word: str, lang: str, read_as: str, stored: str) -> frozenset[str]:
+    """`_odd` of a word after a single-byte step."""
+    return _odd(word.translate(_single_map(read_as, stored)[0]), lang)
+
+
+#: Length of the words whose strange characters a task remembers.
+REMEMBERED = 40
+
+
+def _strange(words: list[str], langs: tuple[str, ...], most: int, step: tuple[str, str] | None = None) -> int:
+    """How many different strange characters the words hold (after `step`), in the language that they suit best; above `most`, any number above it."""
+    least = None
+    for lang in langs:
+        odd = _NONE
+        for w in words:
+            if step is None:
+                more = _odd_short(w, lang) if len(w) <= REMEMBERED else _odd(w, lang)
+            else:
+                more = _odd_mapped(w, lang, *step) if len(w) <= REMEMBERED else _odd(w.translate(_single_map(*step)[0]), lang)
+            if more:
+                odd = odd | more
+                if len(odd) > most:
+                    break
+        least = len(odd) if least is None else min(least, len(odd))
+        most = min(most, least)
+    return least or 0
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in text.split(" ") if not w.isascii()]
+
+
 class Model:
     """Compressors of each language."""
 
@@ -240,34 +341,18 @@ class Model:
         known = [lang for lang in langs if lang in self.compressors]
         return min((len(self.compressors[lang].compress(raw)) + STRANGE_COST * self.strange(text, (lang,)) for lang in known), default=len(raw))
 
+    def likely(self, text: str) -> tuple[str, ...]:
+        """The languages that a text without a known one is judged by: the two that describe its ASCII part best where that has most of its letters, else all."""
+        plain = _BEYOND.sub("", text)
+        if 2 * sum(map(str.isalpha, plain)) <= sum(map(str.isalpha, text)):
+            return tuple(self.compressors)
+        raw = plain.encode()
+        return tuple(sorted(self.compressors, key=lambda k: (len(self.compressors[k].compress(raw)), k))[:2])
+
     @staticmethod
     def strange(text: str, langs: tuple[str, ...], most: int = 1 << 30) -> int:
-        """How many different characters of `text` don't belong where they are, in the language that it suits best; above `most`, any number above it.
-
-        Letters foreign to the language, letters that stand alone and are no word, capitals after a small letter, signs in a word, and signs that touch a letter
-        but for those of the language.
-        """
-        least = None
-        for lang in langs:
-            alphabet, words, odd = ALPHABETS.get(lang, _KNOWN), SHORT_WORDS.get(lang, _ANY_WORD), set()
-            for m in _BEYOND.finditer(text):
-                c, k = m.group(), m.start()
-                if c in odd:
-                    continue
-                before, after = text[k - 1 : k], text[k + 1 : k + 2]
-                if c.isalpha():
-                    if c not in alphabet or c.isupper() and before.islower() or c < "\u3000" and not before.isalnum() and not after.isalnum() and c.lower() not in words:
-                        odd.add(c)
-                elif unicodedata.category(c)[0] in "MC" and not _pictorial(c):  # marks and controls
-                    if c not in alphabet:
-                        odd.add(c)
-                elif before.isalpha() and after.isalpha() and c != "’" and before < "\u3000" and after < "\u3000" or (before.isalpha() or after.isalpha()) and c not in alphabet and not _pictorial(c):
-                    odd.add(c)
-                if len(odd) > most:
-                    break
-            least = len(odd) if least is None else min(least, len(odd))
-            most = min(most, least)
-        return least or 0
+        """How many different characters of `text` don't belong where they are (see `_odd`), in the language that it suits best; above `most`, any number above it."""
+        return _strange(_words(text), langs, most)
 
     @staticmethod
     def plausible(got: str) -> bool:
@@ -290,35 +375,47 @@ def _pictorial(c: str) -> bool:
     return "←" <= c <= "⋿" or "☀" <= c <= "➿" or c >= "\U0001f000" or c in "\xa0\u200d\ufe0f─│└├"
 
 
-def candidates(text: str, langs: tuple[str, ...], model: Model) -> dict[str, tuple[int, tuple[str, ...]]]:
-    """Decodings of a stretch of text, each with the steps of its cheapest chain."""
-    out: dict[str, tuple[int, tuple[str, ...]]] = {}
-    fresh = {text: (0, ())}
-    for depth in (1, 2, 3):
-        found: dict[str, tuple[int, tuple[str, ...]]] = {}
-        for t, (_, chain) in fresh.items():
+def candidates(text: str, langs: tuple[str, ...], model: Model) -> dict[str, tuple[float, tuple[str, ...]]]:
+    """Decodings of a stretch of text, each with the cost and the steps of its shortest chain.
+
+    No decoding holds more strange characters than the text. Chains are steps that undo UTF-8, up to `MOST_STEPS` of them, all different decodings of a step being
+    decoded further; or one single-byte step that leaves no more strange characters than any decoding of the first kind (it costs `CHANCE` if it leaves as many as the text).
+    """
+    out: dict[str, tuple[float, tuple[str, ...]]] = {}
+    fresh: dict[str, tuple[float, tuple[str, ...]]] = {text: (0, ())}
+    words = _words(text)
+    most = odd = _strange(words, langs, 1 << 30)
+    while fresh:
+        found: dict[str, tuple[float, tuple[str, ...]]] = {}
+        for t, (cost, chain) in fresh.items():
+            if len(chain) == MOST_STEPS:
+                continue
             for e in sorted({e for run in set(_RUN.findall(t)) for e in _undoable(run)}, key=READ_AS.index):
                 got = undo_utf8(t, e)
-                if got != t and got not in out and got != text:
-                    found.setdefault(got, (depth, (*chain, f"utf-8 as {e}")))
-        out |= {k: v for k, v in found.items() if model.plausible("".join(c for c in k if c > "\x7f") or "-")}
-        fresh = dict(sorted(found.items(), key=lambda x: (len(x[0]), x[0]))[:4])  # the chains that explain most
-        if not fresh:
-            break
-    odd = model.strange(text, langs)
-    tried = {text, None}
-    for e, s, one in _single_steps(frozenset(text) - _ASCII, langs, odd):
-        got = text.translate(one) if one else undo_single(text, e, s)
-        if got not in tried and got not in out and model.strange(got, langs, odd) <= odd:
-            out[got] = (1, (f"{s} as {e}",))
-        tried.add(got)
+                if got != text and got not in out:
+                    found.setdefault(got, (cost + STEP_COST, (*chain, f"utf-8 as {e}")))
+        for got, step in found.items():
+            left = model.strange(got, langs, odd)
+            if left <= odd and model.plausible("".join(c for c in got if c > "\x7f") or "-"):
+                out[got] = step
+                most = min(most, left)
+        fresh = found
+    for e, s, one in _single_steps(text, langs, most):
+        if one:
+            left = _strange(words, langs, most, (e, s))
+            got = text.translate(one) if left <= most else None
+        else:
+            got = undo_single(text, e, s)
+            left = model.strange(got, langs, most) if got else 0
+        if got and left <= most and got != text and got not in out:
+            out[got] = (STEP_COST + (1 if left < odd else CHANCE), (f"{s} as {e}",))
     return out
 
 
 def is_example(text: str, start: int, end: int, got: str, lang: str | None) -> bool:
     """Whether a garbled sequence is shown rather than used: alone between blanks or quotation marks, and no word or sign there."""
     before, after = text[start - 1 : start], text[end : end + 1]
-    if before.isalnum() or after.isalnum():
+    if not got or before.isalnum() or after.isalnum():
         return False
     if before and after and before in "\"'`“«„(‘" and after in "\"'`”»“)’":
         return True
@@ -342,7 +439,7 @@ def lost_characters(text: str) -> bool:
 
 def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]:
     """Whether `text` is garbled, and its original where nothing was lost."""
-    langs = (lang,) if lang in model.compressors else tuple(model.compressors)
+    langs = (lang,) if lang in model.compressors else model.likely(text)
     lost = affected = "�" in text and lost_characters(text)
     parts, at = [], 0
     pieces = []
@@ -355,21 +452,18 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
         best, keep = None, piece
         if not piece.isascii():
             tried = candidates(piece, langs, model)
-            original, before = (model.cost(piece, langs), model.strange(piece, langs)) if tried else (0.0, 0)
+            original = model.cost(piece, langs) if tried else 0.0
             for got, (steps, chain) in tried.items():
-                c = model.cost(got, langs) + STEP_COST * steps
-                odd = model.strange(got, langs)
-                if not chain[0].startswith("utf-8"):
-                    c += 1 if odd < before else CHANCE
-                if c < original and (best is None or (c, odd) < best[:2]):
-                    best = (c, odd, got, chain)
+                c = model.cost(got, langs) + steps
+                if c < original:
+                    odd = model.strange(got, langs)
+                    if best is None or (c, odd) < best[:2]:
+                        best = (c, odd, got, chain)
             if best:
-                if best[3][0].startswith("utf-8"):
-                    e = best[3][0].split(" as ")[1]
-                    seen = [is_example(piece, r.start(), r.end(), u, lang) for r in _RUN.finditer(piece) if (u := _undo_run(r.group(), e))]
-                    shown.append(bool(seen) and all(seen))
-                else:
-                    shown.append(False)
+                first = best[3][0].split(" as ")
+                runs = [(r, _undo_run(r.group(), first[1]) if first[0] == "utf-8" else next((_undo_run(r.group(), e) for e in _undoable(r.group())), "")) for r in _RUN.finditer(piece)]
+                seen = [u is not None and is_example(piece, r.start(), r.end(), u, lang) for r, u in runs if u is not None]
+                shown.append(bool(seen) and all(seen))
                 keep = best[2]
         parts += [keep, gap]
     if shown and not all(shown):
@@ -380,29 +474,42 @@ def repair(text: str, lang: str | None, model: Model) -> tuple[bool, str | None]
     return affected, None if lost or not affected or "�" in original else original
 
 
+def _dictionary(texts: list[str]) -> bytes:
+    parts = [p.encode() for t in texts for p in _CUT.split(t) if len(p) > 8]
+    size = sum(map(len, parts))
+    if size > 4 * 1024:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 2), parts, k=256, d=6).as_bytes()
+        except zstandard.ZstdError:
+            return b"\n".join(parts)[-DICTIONARY_BYTES:]
+    return b"\n".join(parts)
+
+
 def train_model(df: DataFrame, sample: int = SAMPLE) -> Model:
-    """Dictionaries from at most `sample` distinct texts of each language without suspicious characters."""
-    code = language_code(F.col("lang")).alias("lang")
-    rows = df.where("text is not null and length(text) between 50 and 20000").select(code, "text", F.xxhash64("text").alias("h")).where(F.col("lang").isin(*LANGUAGES))
-    # the hash decides, so the sample is spread over the whole table and the same every time
-    size = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
-    part = F.pmod(F.col("h"), F.lit(1 << 20)) < F.ceil(F.lit(2.0 * sample * (1 << 20)) / F.col("n"))
-    texts: dict[str, list[str]] = defaultdict(list)
-    once = rows.join(F.broadcast(size), "lang").where(part).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    for lang, text in once.orderBy("h", "lang").select("lang", "text").limit(4 * sample * len(LANGUAGES)).toLocalIterator():
-        if len(texts[lang]) < sample and not suspicious(text, lang):
-            texts[lang].append(text)
-    trained = {}
-    for lang, own in texts.items():
-        parts = [p.encode() for t in own for p in _CUT.split(t) if len(p) > 8]
-        if sum(map(len, parts)) > 4 * 1024:
-            try:
-                trained[lang] = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 2), parts, k=256, d=6).as_bytes()
-            except zstandard.ZstdError:
-                trained[lang] = b"\n".join(parts)[-DICTIONARY_BYTES:]
-        elif parts:
-            trained[lang] = b"\n".join(parts)
-    return Model(trained)
+    """Dictionaries from at most `sample` distinct texts of each language without suspicious characters.
+
+    Rows are counted by language, which reads no text; then one pass picks texts by their hash, so the sample is spread over the whole table and the
+    same every time, and copies count once. Each dictionary is trained in a task; only dictionaries come to the driver.
+    """
+    rows = df.select(language_code(F.col("lang")).alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*")).collect()}  # a row for each language of the list
+    if not sizes:
+        return Model({})
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, -(-4 * sample * (1 << 20) // n)))])
+    short, long = SAMPLED_LENGTHS
+    picked = rows.where(F.length("text").between(short, long)).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")])
+    once = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+    def train(pdf):
+        lang, own = pdf["lang"].iloc[0], []
+        for text in pdf.sort_values("h")["text"]:
+            if len(own) == sample:
+                break
+            if not suspicious(text, lang):
+                own.append(text)
+        return pd.DataFrame({"lang": [lang], "dictionary": [_dictionary(own)]})
+
+    return Model({lang: bytes(raw) for lang, raw in sorted(once.groupBy("lang").applyInPandas(train, "lang string, dictionary binary").collect()) if raw})
 
 
 def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
