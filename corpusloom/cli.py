@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
         command(name, "counts, fields and issues").add_argument("--limit", type=int, default=1000)
     p = command("tokenizer-report", "what a tokenizer makes of the records")
     p.add_argument("--tokenizer")
+    p.add_argument("--tokenizer-type", default="bpe")
     p.add_argument("--limit", type=int, default=1000)
     p.add_argument("--out")
     p = command("train-tokenizer", "learn a byte-level BPE vocabulary", True)
@@ -88,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "tokenizer-report":
         encode = None
         if a.tokenizer:
-            encode, _ = tokens.load_tokenizer("bpe", a.tokenizer)
+            encode, _ = tokens.load_tokenizer(a.tokenizer_type, a.tokenizer)
         report = stats.tokenizer_report(stats.first(records, a.limit), encode=encode)
         print(json.dumps(sinks.write_report(report, a.out) if a.out else report.first().asDict(), indent=2))
     elif a.command == "train-tokenizer":

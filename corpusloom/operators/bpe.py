@@ -1,8 +1,8 @@
 """Word and pair statistics, and training of byte-level BPE vocabularies.
 
 Counting the corpus is a Spark aggregation; the merge loop runs on the distinct words with an index from pairs to words, so a
-round touches only words that hold the merged pair. Where the distinct words are too many for the driver, rounds run as
-Spark jobs instead. Ties go to the lowest pair. Null and empty texts count nothing.
+round touches only words that hold the merged pair. Where the distinct words are more than `driver_words`, which bounds the driver's memory, the same merges are
+found by rounds of Spark jobs. Ties go to the lowest pair. Null and empty texts count nothing.
 """
 
 from __future__ import annotations
@@ -109,24 +109,54 @@ def train_bpe(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, t
     return BpeModel(tuple(learn_distributed(words, merges, min_frequency)))
 
 
-def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut_every: int = 20) -> list[tuple[int, int]]:
-    """As `learn`, a Spark job a round; the words stay distributed and the lineage is cut every `cut_every` rounds."""
+def next_merges(top: list[tuple[int, int, int]], most: int, min_frequency: int = 2) -> list[tuple[int, int]]:
+    """The merges that surely come next, of pairs `(l, r, n)` in order (frequent first, then lowest).
+
+    A merge changes only counts of pairs that hold one of its two ids, and a pair with the new id is no more frequent than one of these. So the pairs
+    in order are merged one by one until one holds an id of an earlier merge of the round.
+    """
     out: list[tuple[int, int]] = []
-    while len(out) < merges:
-        top = best_pair(pair_counts(words)).collect()  # one row
-        if not top or top[0].n < min_frequency:
+    touched: set[int] = set()
+    for left, right, n in top:
+        if len(out) == most or n < min_frequency or touched & {left, right}:
             break
-        left, right, new = top[0].l, top[0].r, BPE_OFFSET + 256 + len(out)
         out.append((left, right))
-        words = words.withColumn("ids", F.when(F.array_contains("ids", left) & F.array_contains("ids", right), _merged(F.col("ids"), left, right, new)).otherwise(F.col("ids")))
-        if len(out) % cut_every == 0:
+        touched |= {left, right}
+    return out
+
+
+def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut_every: int = 10, ahead: int = 256) -> list[tuple[int, int]]:
+    """As `learn`, with the words distributed: a round counts pairs, takes all merges that surely come next (`next_merges` of the
+    first `ahead` pairs) and applies them in one pass. The lineage is cut every `cut_every` rounds."""
+    out: list[tuple[int, int]] = []
+    rounds = 0
+    while len(out) < merges:
+        top = [tuple(r) for r in pair_counts(words).orderBy(F.desc("n"), "l", "r").limit(ahead).collect()]
+        now = next_merges(top, merges - len(out), min_frequency)
+        if not now:
+            break
+        steps = [(*pair, BPE_OFFSET + 256 + len(out) + k) for k, pair in enumerate(now)]
+        out += now
+        held = F.lit(False)
+        for left, _, _ in steps:
+            held = held | F.array_contains("ids", left)
+        words = words.withColumn("ids", F.when(held, _merged(F.col("ids"), steps)).otherwise(F.col("ids")))
+        rounds += 1
+        if rounds % cut_every == 0:
             words = materialize(words, "words")
     return out
 
 
-def _merged(c: Column, left: int, right: int, new: int) -> Column:
+def _merged(c: Column, steps: list[tuple[int, int, int]]) -> Column:
     @F.arrow_udf("array<int>")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([merge(v, left, right, new) for v in values.to_pylist()], pa.list_(pa.int32()))
+        out = []
+        for ids in values.to_pylist():
+            have = set(ids)
+            for left, right, new in steps:
+                if left in have and right in have:
+                    ids = merge(ids, left, right, new)
+            out.append(ids)
+        return pa.array(out, pa.list_(pa.int32()))
 
     return run(c)

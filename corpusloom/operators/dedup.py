@@ -10,6 +10,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -60,24 +61,42 @@ def _token_bits(token: str, algorithm: str) -> int:
     return int.from_bytes(digest[8:], "big")
 
 
+#: Words of a batch whose bits are added up at once; bounds memory only.
+WORDS_AT_ONCE = 1 << 18
+
+
+def simhashes(texts: list[str], algorithm: str = "blake2b") -> np.ndarray:
+    """64-bit similarity hashes of texts by their words with multiplicity; 0 for a text without words.
+
+    The words of all texts are numbered once; their signed bits are gathered in one matrix and added up text by text.
+    """
+    found = [_WORD.findall(t.lower()) for t in texts]
+    number, words = pd.factorize(np.array([w for ws in found for w in ws], object))
+    bits = np.array([_token_bits(w, algorithm) for w in words], ">u8").view(np.uint8).reshape(-1, 8)
+    signs = (2 * np.unpackbits(bits, axis=1).astype(np.int8) - 1).reshape(-1, 64)
+    doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
+    total = np.zeros((len(texts), 64), np.int64)
+    for at in range(0, len(doc), WORDS_AT_ONCE):
+        d, k = doc[at : at + WORDS_AT_ONCE], number[at : at + WORDS_AT_ONCE]
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        total[d[first]] += np.add.reduceat(signs[k], first, axis=0, dtype=np.int64)
+    return np.packbits(total > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def simhash64(text: str, algorithm: str = "blake2b") -> int:
-    """64-bit similarity hash of a text's words with their multiplicity; 0 for a text without words."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return 0
-    hashes, counts = np.unique(np.array([_token_bits(w, algorithm) for w in words], np.uint64), return_counts=True)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    weight = (2 * bits - 1).T @ counts
-    return int.from_bytes(np.packbits(weight > 0).tobytes(), "big")
+    """`simhashes` of one text."""
+    return int(simhashes([text], algorithm)[0])
 
 
 def simhash(c: Column, algorithm: str = "blake2b") -> Column:
-    """`simhash64` as a signed long column."""
+    """`simhashes` as a signed long column."""
 
     @F.arrow_udf("long")
     def run(values: pa.Array) -> pa.Array:
-        got = [None if v is None else simhash64(v, algorithm) for v in values.to_pylist()]
-        return pa.array([None if g is None else g - (1 << 64) if g >> 63 else g for g in got], pa.int64())
+        got = simhashes(values.drop_null().to_pylist(), algorithm).view(np.int64)
+        out, there = np.zeros(len(values), np.int64), np.asarray(values.is_valid())
+        out[there] = got
+        return pa.array(out, mask=~there)
 
     return run(c)
 
@@ -119,11 +138,12 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str = "text", distance: int
     return both.join(x, "a").join(y, "b").where("id_a < id_b").select("id_a", "id_b")
 
 
-def near_dedup(df: DataFrame, text_col: str = "text", order: str = "ord", distance: int = 3, algorithm: str = "blake2b", max_rounds: int = 100) -> DataFrame:
+def near_dedup(df: DataFrame, text_col: str = "text", order: str = "ord", distance: int = 3, algorithm: str = "blake2b") -> DataFrame:
     """Rows that a greedy pass in `order` keeps: those at no kept earlier row's distance.
 
     That is the lexicographically first maximal independent set of the pairs of fingerprints, found in rounds: a
-    fingerprint whose earlier neighbours are all dropped is kept, its later neighbours are dropped.
+    fingerprint whose earlier neighbours are all dropped is kept, its later neighbours are dropped. Every round settles the first of
+    those left at least, so there are at most as many rounds as the longest chain of neighbours in order is long; each works on what is left only.
     """
     rows = materialize(df.select(F.col(order).alias("o"), simhash(F.col(text_col), algorithm).alias("fp")), "simhash")
     first = rows.where("fp is not null").groupBy("fp").agg(F.min("o").alias("o"))
@@ -137,9 +157,7 @@ def near_dedup(df: DataFrame, text_col: str = "text", order: str = "ord", distan
     edges = materialize(edges, "edges")
     dropped = None
     left = edges
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         waiting = left.select("late").distinct()
         kept = left.select("early").distinct().join(waiting.withColumnRenamed("late", "early"), "early", "left_anti")
         gone = materialize(left.join(kept, "early", "left_semi").select(F.col("late").alias("o")).distinct(), "dropped")
@@ -147,8 +165,6 @@ def near_dedup(df: DataFrame, text_col: str = "text", order: str = "ord", distan
         settled = gone.withColumnRenamed("o", "early")
         left = left.join(settled, "early", "left_anti").join(gone.withColumnRenamed("o", "late"), "late", "left_anti")
         left = materialize(left.join(kept, "early", "left_anti"), "edges")
-    else:
-        raise RuntimeError("near deduplication did not settle; raise max_rounds")
     later = rows.join(first.withColumnRenamed("o", "first"), "fp").where(F.col("o") != F.col("first")).select("o")
     out = df.join(later.withColumnRenamed("o", order), order, "left_anti")
     return out if dropped is None else out.join(dropped.withColumnRenamed("o", order), order, "left_anti")

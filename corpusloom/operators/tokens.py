@@ -168,17 +168,97 @@ def bpe_decode(c: Column, model: BpeModel) -> Column:
     return run(c)
 
 
+class WrappedTokenizer:
+    """A tokenizer file of another library (WordPiece, BPE or unigram of `tokenizers`, BPE or unigram of `sentencepiece`), opened once a worker."""
+
+    def __init__(self, kind: str, path: str):
+        from corpusloom.sources import storage
+
+        self.kind, self.path, self.data = kind, path, storage.read_bytes(path)
+
+    def __getstate__(self):
+        return {"kind": self.kind, "path": self.path, "data": self.data}
+
+    def open(self):
+        key = (self.kind, hash(self.data))
+        if key not in _opened:
+            if self.kind == "sentencepiece":
+                import sentencepiece
+
+                _opened[key] = sentencepiece.SentencePieceProcessor(model_proto=self.data)
+            else:
+                import tokenizers
+
+                _opened[key] = tokenizers.Tokenizer.from_str(self.data.decode("utf-8"))
+        return _opened[key]
+
+    @property
+    def vocab_size(self) -> int:
+        return self.open().get_piece_size() if self.kind == "sentencepiece" else self.open().get_vocab_size()
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        if self.kind == "sentencepiece":
+            return self.open().encode(texts)
+        return [e.ids for e in self.open().encode_batch(texts, add_special_tokens=False)]
+
+    def decode_all(self, ids: list[list[int]]) -> list[str]:
+        return self.open().decode(ids) if self.kind == "sentencepiece" else self.open().decode_batch(ids, skip_special_tokens=True)
+
+    def encoder(self):
+        return lambda text: self.encode_all([text])[0]
+
+
+_opened: dict[tuple, object] = {}
+
+
+def wrapped_encode(c: Column, tokenizer: WrappedTokenizer) -> Column:
+    """Ids of a text column, a batch at a time; null for null texts."""
+
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array) -> pa.Array:
+        got = iter(tokenizer.encode_all(values.drop_null().to_pylist()))
+        return pa.array([next(got) if v else None for v in values.is_valid().to_pylist()], pa.list_(pa.int32()))
+
+    return run(c)
+
+
+def wrapped_decode(c: Column, tokenizer: WrappedTokenizer) -> Column:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        got = iter(tokenizer.decode_all(values.drop_null().to_pylist()))
+        return pa.array([next(got) if v else None for v in values.is_valid().to_pylist()], pa.string())
+
+    return run(c)
+
+
 # Other names of the tokenizer types.
-TOKENIZER_ALIASES = {"byte": "byte", "native-byte": "byte", "bytes": "byte", "bpe": "bpe", "python-bpe": "bpe", "native-bpe": "bpe", "byte-bpe": "bpe"}
+TOKENIZER_ALIASES = {
+    "byte": "byte", "native-byte": "byte", "bytes": "byte", "bpe": "bpe", "python-bpe": "bpe", "native-bpe": "bpe", "byte-bpe": "bpe",
+    "hf-bpe": "tokenizers", "wordpiece": "tokenizers", "huggingface": "tokenizers", "unigram": "sentencepiece", "sentencepiece": "sentencepiece", "sentencepiece-bpe": "sentencepiece", "sentencepiece-unigram": "sentencepiece",
+}
 
 
-def load_tokenizer(kind: str = "byte", path: str | None = None):
-    """`(encode, decode)` column functions; every type is the byte tokenizer where no path is given."""
-    name = TOKENIZER_ALIASES.get(kind.lower().replace("_", "-"))
+def tokenizer_type(kind: str) -> str:
+    """The plain name of a tokenizer type in any spelling; an unknown one is an error."""
+    name = TOKENIZER_ALIASES.get(kind.strip().lower().replace("_", "-"))
     if name is None:
         raise ValueError(f"unknown tokenizer type {kind!r}; known: {', '.join(sorted(TOKENIZER_ALIASES))}")
-    if name == "byte" or path is None:
+    return name
+
+
+def load_model(kind: str, path: str) -> BpeModel | WrappedTokenizer:
+    """The vocabulary in a file, for a type other than `byte`."""
+    from corpusloom.sources import storage
+
+    name = tokenizer_type(kind)
+    return BpeModel.from_json(storage.read_bytes(path).decode("utf-8")) if name == "bpe" else WrappedTokenizer(name, path)
+
+
+def load_tokenizer(kind: str = "byte", path: str | None = None):
+    """`(encode, decode)` column functions; every type is the byte tokenizer where no path is given."""
+    if tokenizer_type(kind) == "byte" or path is None:
         return byte_encode, byte_decode
-    with open(path, encoding="utf-8") as f:
-        model = BpeModel.from_json(f.read())
+    model = load_model(kind, path)
+    if isinstance(model, WrappedTokenizer):
+        return (lambda c: wrapped_encode(c, model)), (lambda c: wrapped_decode(c, model))
     return (lambda c: bpe_encode(c, model)), (lambda c: bpe_decode(c, model))

@@ -129,7 +129,9 @@ SQL = {
     "extract_text": f"select pair_id, md5({_INSTRUCT.format(answer='output')}) as digest from (select *, {_PROMPT} as p from {_ONE_PAIR})",
     "instruct_template": f"select pair_id, length(s) as chars, md5(s) as digest from (select pair_id, {_INSTRUCT.format(answer='output')} as s from (select *, {_PROMPT} as p from {_ONE_PAIR}) where prompt is null)",
     "prompt_completion_join": f"select pair_id, md5(concat_ws(chr(10), case when length(prompt) > 0 then prompt end, case when length(response) > 0 then response end)) as digest from {_ONE_PAIR} where prompt is not null",
-    "row_mode": "select * from (values ('documents', 'generative'), ('records', 'generative'), ('instruct_pairs', 'instruct'), ('conversations', 'generative'), ('part', 'generative'), ('customer', 'generative')) t(name, mode)",
+    "row_mode": """select name, case when list_has_any(c, ['messages', 'conversations']) then 'chat' when list_contains(c, 'instruction') and list_has_any(c, ['output', 'response', 'answer']) then 'instruct'
+            when list_contains(c, 'prompt') and list_has_any(c, ['completion', 'response', 'answer']) then 'completion' when list_contains(c, 'code') then 'code' else 'generative' end as mode
+        from (select table_name as name, list(lower(column_name)) as c from information_schema.columns group by 1) where name in ('documents', 'records', 'instruct_pairs', 'conversations', 'part', 'customer')""",
     "chat_render": f"select conv_id, length(s) as chars, md5(s) as digest from (select conv_id, string_agg('<|' || m.r || '|>' || chr(10) || m.t, chr(10) order by turn) as s from {_TURNS} group by 1)",
     "chat_export_endoftext": f"""select conv_id, md5(string_agg('<|' || m.r || '|>' || chr(10) || m.t, chr(10) order by turn) || chr(10) || '<|endoftext|>' || chr(10) || chr(10)) as digest
         from (select conv_id, turn, min({{'r': case when {_ROLE} in ('system', 'user', 'assistant', 'tool') then {_ROLE} else 'user' end, 't': trim(text)}}) as m

@@ -26,6 +26,11 @@ def _show(df, key):
     return df.select(key, F.size("e.ids").alias("n"), join("e.ids").alias("ids"), join("e.labels").alias("labels"))
 
 
+LEADS = {
+    "response": "ask\n### Response:\n", "completion": "ask\nCompletion:\n", "answer": "ask\nAnswer:\n", "both": "a\nAnswer:\nb\n### Response:\nc", "chat": "<|user|>\nask\n<|assistant|>\n",
+}
+
+
 def role_blocks(spark, d):
     spans = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)<\|(system|user|assistant|tool)\|>\s*((?:(?!<\|(?:system|user|assistant|tool)\|>).)*)"), F.lit(1))
     bodies = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)<\|(system|user|assistant|tool)\|>\s*((?:(?!<\|(?:system|user|assistant|tool)\|>).)*)"), F.lit(2))
@@ -38,7 +43,10 @@ def assistant_mask(spark, d):
 
 
 def completion_mask(spark, d):
-    return _show(_texts(spark, d).select("doc_id", masking.encoded(F.col("text"), F.lit("completion_only")).alias("e")), "doc_id").select("doc_id", "n", "ids")
+    """Every text as it is and behind each marker of a completion and of an answer."""
+    leads = F.array(F.struct(F.lit("none").alias("lead"), F.col("text").alias("t")), *[F.struct(F.lit(k).alias("lead"), F.concat(F.lit(v), "text").alias("t")) for k, v in LEADS.items()])
+    texts = _texts(spark, d).select("doc_id", F.inline(leads)).select(F.concat_ws(":", "lead", "doc_id").alias("doc_id"), F.col("t").alias("text"))
+    return _show(texts.select("doc_id", masking.encoded(F.col("text"), F.lit("completion_only")).alias("e")), "doc_id")
 
 
 def partial_mask(spark, d):
@@ -65,8 +73,8 @@ def _chat_sequences(spark, d):
 
 
 def role_boundary_sequences(spark, d):
-    counted = packing.label_counts(_chat_sequences(spark, d))
-    return counted.groupBy("conv_id").agg(F.count("*").alias("sequences"), F.sum("unmasked").cast("long").alias("unmasked")).where("unmasked > 1")  # others have no answer and fall back to windows
+    join = lambda c: F.md5(F.array_join(c, ","))
+    return _chat_sequences(spark, d).select("conv_id", "seq_no", join("input_ids").alias("input_ids"), join("labels").alias("labels"))
 
 
 def packing_stats(spark, d):
@@ -140,13 +148,45 @@ def _stripped(x: str) -> str:
     return sql_strip(x)
 
 
-_ANSWERS = f"""select conv_id, k, strlen(body) as n, least({_ROOM}, strlen('<|assistant|>') + 1
-        + case when coalesce({_stripped('system_text')}, '') <> '' then strlen({_stripped('system_text')}) + 12 else 0 end
-        + case when coalesce({_stripped('user_text')}, '') <> '' then strlen({_stripped('user_text')}) + 10 else 0 end) as prefix
+def _said(role: str, x: str) -> str:
+    return f"case when coalesce({_stripped(x)}, '') <> '' then '<|{role}|>' || chr(10) || {_stripped(x)} || chr(10) else '' end"
+
+
+_PREFIX = f"({_said('system', 'system_text')} || {_said('user', 'user_text')} || '<|assistant|>' || chr(10))"
+_ANSWERS = f"""select conv_id, k, {SQL_IDS.format(x='body')} as b, {SQL_IDS.format(x=_PREFIX)} as prefix
     from ({_BLOCKS}) where role = 'assistant' and {_stripped('body')} <> ''"""
-_PIECES = f"""select conv_id, k, n, prefix, step, j, least(step, n - j * step) as len from
-    (select *, unnest(range(0, (n + step - 1) // step)) as j from (select *, greatest(1, least({_TARGET}, {SEQ_LEN + 1} - prefix - 2)) as step from ({_ANSWERS})))"""
-_LABELLED = f"select conv_id, k, j, len + case when (j + 1) * step >= n and 1 + prefix + len < {SEQ_LEN + 1} then 1 else 0 end as unmasked from ({_PIECES})"
+_W = SEQ_LEN + 1
+_CUTS = f"select *, prefix[greatest(len(prefix) - {_ROOM}, 0) + 1:] as p from ({_ANSWERS})"
+_PIECES = f"""select conv_id, k, j, p, b[j * step + 1:(j + 1) * step] as piece, (j + 1) * step >= len(b) as closes from
+    (select *, unnest(range(0, (len(b) + step - 1) // step)) as j from (select *, greatest(1, least({_TARGET}, {_W} - len(p) - 2)) as step from ({_CUTS})))"""
+_ALONG = f"""select conv_id, k, j, list_concat(list_concat([1], p), list_concat(piece, e)) as ids, list_concat(list_transform(range(len(p) + 1), lambda x: -100), list_concat(piece, e)) as labels
+    from (select *, case when closes and 1 + len(p) + len(piece) < {_W} then [2] else [] end as e from ({_PIECES}))"""
+
+
+def _parts(key: str, source: str) -> str:
+    """Marker, role and body of each stretch of the texts of `source`, in order `k`."""
+    spans = f"""select {key}, k, case when contains(p, chr(57345)) then split_part(p, chr(57345), 1) else '' end as marker, case when contains(p, chr(57345)) then substring(p, strpos(p, chr(57345)) + 1) else p end as body
+        from (select {key}, unnest(parts) as p, generate_subscripts(parts, 1) as k from (select {key}, string_split({_TAGGED}, chr(57344)) as parts from {source}))"""
+    return f"select {key}, k, marker, body, regexp_extract(marker, '[a-z]+') as role from ({spans}) where marker <> '' or body <> ''"
+
+
+def _masked(key: str, source: str) -> str:
+    """Ids and labels of the texts of `source` with only what the assistant says labelled."""
+    return f"""select {key}, list_concat(list_concat([1], ids), [2]) as ids, list_concat(list_concat([-100], labels), [case when final = 'assistant' then 2 else -100 end]) as labels from
+        (select {key}, flatten(list(list_concat(m, b) order by k)) as ids, flatten(list(list_concat(list_transform(m, lambda x: -100), case when role = 'assistant' then b else list_transform(b, lambda x: -100) end) order by k)) as labels,
+            arg_max(role, k) as final from (select {key}, k, role, {SQL_IDS.format(x='marker')} as m, {SQL_IDS.format(x='body')} as b from ({_parts(key, source)})) group by 1)"""
+
+
+_BEHIND = f"""select conv_id, 1 as k, w as j, ids[w * {_W} + 1:(w + 1) * {_W}] as ids, labels[w * {_W} + 1:(w + 1) * {_W}] as labels from
+    (select *, unnest(range(0, (len(ids) + {SEQ_LEN}) // {_W})) as w from ({_masked('conv_id', _CHATS)}) where conv_id not in (select conv_id from ({_ANSWERS})))"""
+_ALL = f"""select conv_id, row_number() over (partition by conv_id order by k, j) - 1 as seq_no, list_concat(ids, list_transform(range({_W} - len(ids)), lambda x: 0))[:{SEQ_LEN}] as input_ids,
+    list_concat(labels, list_transform(range({_W} - len(labels)), lambda x: -100))[2:] as labels from ({_ALONG} union all {_BEHIND}) where len(ids) > 1"""
+_LEAD_TEXTS = "(select k || ':' || doc_id as doc_id, v || text as text from documents, (values ('none', ''), " + ", ".join("('" + k + "', '" + v.replace(chr(10), "' || chr(10) || '") + "')" for k, v in LEADS.items()) + ") x(k, v) where text is not null)"
+_COMPLETION = f"""with t as {_LEAD_TEXTS}, c as (select *, case when contains(text, chr(10) || '### Response:' || chr(10)) then chr(10) || '### Response:' || chr(10) when contains(text, chr(10) || 'Completion:' || chr(10)) then chr(10) || 'Completion:' || chr(10)
+            when contains(text, chr(10) || 'Answer:' || chr(10)) then chr(10) || 'Answer:' || chr(10) end as mark from t where not contains(text, '<|assistant|>')),
+    e as (select doc_id, list_concat(list_concat([1], {SQL_IDS.format(x='text')}), [2]) as ids, case when mark is null then 1 else 1 + strlen(split_part(text, mark, 1)) + strlen(mark) end as lead from c),
+    a as (select * from t where contains(text, '<|assistant|>'))
+    select doc_id, ids, list_concat(list_transform(range(lead), lambda x: -100), ids[lead + 1:]) as labels from e union all {_masked('doc_id', 'a')}"""
 
 SQL = {
     "role_blocks": f"select conv_id, role, count(*) as blocks, cast(sum(strlen(body)) as bigint) as bytes from ({_PARTS}) where role <> '' and body <> '' group by 1, 2",
@@ -155,12 +195,13 @@ SQL = {
             arg_max(role, k) as final from p group by 1)
         select conv_id, len(ids) + 2 as n, md5(array_to_string(list_concat(list_concat([1], ids), [2]), ',')) as ids,
             md5(array_to_string(list_concat(list_concat([-100], labels), [case when final = 'assistant' then 2 else -100 end]), ',')) as labels from s""",
-    "completion_mask": f"select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids from ({_BOUND})",
+    "completion_mask": f"select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids, md5(array_to_string(labels, ',')) as labels from ({_COMPLETION})",
     "partial_mask": f"""select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids,
         md5(array_to_string(list_concat(list_transform(range(len(ids) // 2), lambda x: -100), ids[len(ids) // 2 + 1:]), ',')) as labels from ({_BOUND})""",
     "plain_labels": f"select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids, md5(array_to_string(list_concat([-100], ids[2:]), ',')) as labels from ({_BOUND})",
     "fixed_sequences": f"select doc_id, seq_no, md5(array_to_string(input_ids, ',')) as input_ids, md5(array_to_string(labels, ',')) as labels from ({_SEQS})",
-    "role_boundary_sequences": f"select conv_id, count(*) as sequences, cast(sum(unmasked) as bigint) as unmasked from ({_LABELLED}) where conv_id in (select conv_id from ({_ANSWERS})) group by 1",
+    "role_boundary_sequences": f"select conv_id, cast(seq_no as int) as seq_no, md5(array_to_string(input_ids, ',')) as input_ids, md5(array_to_string(labels, ',')) as labels from ({_ALL})",
+    "chat_packing_stats": _STATS.format(n=SEQ_LEN, s="select *, " + _SPLIT.format(k="conv_id || ':' || seq_no", f=0.1) + f" as split from ({_COUNTED.format(s=_ALL)})"),
     "packing_stats": _STATS.format(n=SEQ_LEN, s="select *, " + _SPLIT.format(k="doc_id || ':' || seq_no", f=0.1) + f" as split from ({_COUNTED.format(s=_SEQS)})"),
     "mask_health": f"""select round(sum({SEQ_LEN} - masked) * 100.0 / sum({SEQ_LEN}), 6) as unmasked_percent, cast(sum(case when masked = {SEQ_LEN} then 1 else 0 end) as bigint) as all_masked,
         case when sum({SEQ_LEN} - masked) = 0 then 'fail' when sum({SEQ_LEN} - masked) * 100.0 / sum({SEQ_LEN}) < 5 then 'warn' else 'ok' end as verdict from ({_COUNTED.format(s=_SEQS)})""",

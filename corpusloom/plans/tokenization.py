@@ -23,8 +23,8 @@ def byte_tokenize(spark, d):
 
 
 def byte_round_trip(spark, d):
-    back = tokens.byte_decode(tokens.byte_encode(F.col("text")))
-    return _docs(spark, d).where("text is not null").agg(F.count("*").alias("docs"), F.sum((back == F.col("text")).cast("long")).alias("equal"))
+    back = tokens.byte_decode(tokens.byte_encode(F.col("text"), bos=True, eos=True))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(back).alias("digest"), F.length(back).alias("chars"))
 
 
 def tokenizer_report(spark, d):
@@ -96,9 +96,14 @@ def distinct_ratio(spark, d):
     return rows.select("doc_id", F.round(stats.distinct_ratio(F.col("ids")), 9).alias("ratio"))
 
 
+TAILS = {"one": "a" * 20, "two": "ab" * 4, "three": "abc" * 4, "four": "abcd" * 4, "few": "abcdefghi" * 8, "once": "abcd" * 3}
+
+
 def repetitive_tail(spark, d):
-    rows = _docs(spark, d).where("text is not null").select("doc_id", tokens.byte_encode(F.col("text")).alias("ids"))
-    return rows.where(stats.repetitive_tail(F.col("ids"))).select("doc_id")
+    """Every text as it is and with three tails that repeat themselves, long and short ones, so that each rule fires and fails."""
+    tails = F.array(F.struct(F.lit("none").alias("tail"), F.col("text").alias("t")), *[F.struct(F.lit(name).alias("tail"), F.concat("text", F.lit(tail)).alias("t")) for name, tail in TAILS.items()])
+    rows = _docs(spark, d).where("text is not null").select("doc_id", F.inline(tails)).select("doc_id", "tail", tokens.byte_encode(F.col("t")).alias("ids"))
+    return rows.where(stats.repetitive_tail(F.col("ids"))).select("doc_id", "tail")
 
 
 QUERIES = {
@@ -115,7 +120,7 @@ _PAIRS = f"""select ids[i] as l, ids[i + 1] as r, cast(sum(n) as bigint) as n fr
 
 SQL = {
     "byte_tokenize": f"select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as digest from (select doc_id, list_concat(list_concat([1], ids), [2]) as ids from ({_IDS}))",
-    "byte_round_trip": "select count(*) as docs, count(*) as equal from documents where text is not null",
+    "byte_round_trip": "select doc_id, md5(text) as digest, length(text) as chars from documents where text is not null",
     "tokenizer_report": f"""with t as (select unnest(ids) as token from ({_IDS})) select count(*) as documents, cast(sum(length(text)) as bigint) as characters, cast(sum(strlen(text)) as bigint) as bytes_utf8,
         (select count(*) from t) as tokens, round(sum(length(text)) / (select count(*) from t), 6) as chars_per_token, round(sum(strlen(text)) / (select count(*) from t), 6) as bytes_per_token,
         (select count(distinct token) from t) as unique_tokens, cast(0 as double) as unk_rate from documents where text is not null""",
@@ -134,6 +139,7 @@ SQL = {
     "repetition_score": f"""with g as (select doc_id, ids, unnest(range(1, len(ids) - 1)) as i from ({_IDS})), n as (select doc_id, 1.0::double - count(distinct (ids[i], ids[i + 1], ids[i + 2])) / count(*)::double as score from g group by 1)
         select doc_id, round(coalesce(score, 0.0), 9) as score from ({_IDS}) left join n using (doc_id)""",
     "distinct_ratio": f"select doc_id, case when len(ids) > 0 then round(len(list_distinct(ids)) / len(ids), 9) else 0.0 end as ratio from ({_IDS})",
-    "repetitive_tail": f"""with t as (select doc_id, len(ids) as n, ids[-64:] as tail from ({_IDS})), k as (select *, len(tail) as t, len(list_distinct(tail)) as kinds from t)
-        select doc_id from k where n >= 32 and ((kinds <= 2 and t >= 16) or (t >= 8 and tail[-8:-3] = tail[-6:]) or (t >= 12 and tail[-12:-4] = tail[-9:]) or (t >= 16 and tail[-16:-5] = tail[-12:]) or (1.0 - kinds / t >= 0.85 and t >= 64))""",
+    "repetitive_tail": f"""with e as (select doc_id, k as kind, {SQL_IDS.format(x="text || v")} as ids from documents, (values ('none', ''), {", ".join(f"('{k}', '{v}')" for k, v in TAILS.items())}) x(k, v) where text is not null),
+        t as (select doc_id, kind, len(ids) as n, ids[-64:] as tail from e), k as (select *, len(tail) as t, len(list_distinct(tail)) as kinds from t)
+        select doc_id, kind as tail from k where n >= 32 and ((kinds <= 2 and t >= 16) or (t >= 8 and tail[-8:-3] = tail[-6:]) or (t >= 12 and tail[-12:-4] = tail[-9:]) or (t >= 16 and tail[-16:-5] = tail[-12:]) or (1.0 - kinds / t >= 0.85 and t >= 64))""",
 }

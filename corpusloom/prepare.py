@@ -40,9 +40,8 @@ def prepare(
     records, issues = readers.read_records(spark, paths, **options)
     kept = clean.clean_records(materialize(records, "records"), config)
     encode, vocab = None, tokens.BYTE_VOCABULARY
-    if tokenizer_path and tokens.TOKENIZER_ALIASES.get(tokenizer_type) == "bpe":
-        with open(tokenizer_path, encoding="utf-8") as f:
-            model = tokens.BpeModel.from_json(f.read())
+    if tokens.tokenizer_type(tokenizer_type) != "byte" and tokenizer_path:
+        model = tokens.load_model(tokenizer_type, tokenizer_path)
         encode, vocab = model.encoder(), model.vocab_size
     seqs = materialize(training_table(kept, seq_len, mode, loss_masking, val_fraction, seed, encode), "sequences")
     seqs = packing.guarantee_splits(seqs, ["ord", "seq_no"])

@@ -25,8 +25,8 @@ def as_records(df: DataFrame, **given) -> DataFrame:
 
 
 def order_key(source, number):
-    """A key that sorts by source, then by number."""
-    return F.concat(source, F.lit("\x01"), F.lpad(F.coalesce(number, F.lit(0)).cast("string"), 12, "0"))
+    """A key that sorts by source, then by number; 19 digits hold every long that isn't negative."""
+    return F.concat(source, F.lit("\x01"), F.lpad(F.coalesce(number, F.lit(0)).cast("string"), 19, "0"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import path_suffix
 
+from . import storage
+
 # Formats by suffix.
 SUFFIX_FORMATS = {
     ".zip": "archive", ".tar": "archive", ".tgz": "archive", ".gz": "archive", ".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".tsv": "csv", ".yaml": "yaml", ".yml": "yaml",
@@ -24,7 +26,7 @@ def detect_format(path: str) -> str:
     if path.startswith(("http://", "https://")):
         return "http-jsonl" if low.split("?", 1)[0].endswith(".jsonl") else "http-text"
     found = SUFFIX_FORMATS.get(os.path.splitext(low)[1])
-    return found or ("directory" if os.path.isdir(path) else "text")
+    return found or ("directory" if storage.is_dir(path) else "text")
 
 
 def format_of(path: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.tokens import BpeModel
 
+from . import storage
+
 
 def write_jsonl(df: DataFrame, out: str) -> None:
     """Records as lines of `{text, source, metadata}`; null metadata are left out. One file a task."""
@@ -29,16 +31,19 @@ def first_column_text(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit("")).alias("value"))
 
 
+def write_first_column(df: DataFrame, out: str) -> None:
+    """The first column of a table as lines of text, one file a task."""
+    first_column_text(df).write.mode("overwrite").text(out)
+
+
 def write_bpe(model: BpeModel, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(model.to_json())
+    storage.write_bytes(path, model.to_json().encode())
 
 
 def write_report(df: DataFrame, path: str) -> dict:
     """A one-row report as a JSON file on the driver."""
     row = df.first().asDict(recursive=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(row, f, indent=2, ensure_ascii=False)
+    storage.write_bytes(path, json.dumps(row, indent=2, ensure_ascii=False).encode())
     return row
 
 
@@ -52,7 +57,7 @@ def finite(value):
 
 
 class MetricLog:
-    """An append-only JSON-lines log of metrics; a reset keeps the old log beside it."""
+    """An append-only JSON-lines log of metrics on a local disk; a reset keeps the old log beside it."""
 
     def __init__(self, path: str, reset: bool = False):
         self.path = path

@@ -8,9 +8,11 @@ import zipfile
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import prepare as P
-from corpusloom.operators import extract, packing
+from corpusloom import records as R
+from corpusloom.operators import dedup, extract, packing
 from corpusloom.sources import readers, sinks
 from corpusloom.sources.detect import detect_format
 
@@ -198,3 +200,52 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["tokenizer-report", src, "--tokenizer", str(tmp_path / "bpe.json")]) == 0
     assert cli.main(["convert-dataset", src, "--to", "txt", "--out", str(tmp_path / "txt")]) == 0
     assert "unique_tokens" in capsys.readouterr().out
+
+
+def test_order_keys_hold_every_long(spark):
+    numbers = [0, 9, 10, 10**12, 10**12 + 1, 117 << 33, (117 << 33) + 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    keys = [r.k for r in df.select(R.order_key(F.lit("a"), F.col("n")).alias("k")).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(numbers)
+
+
+def test_repeats_beyond_partition_117_leave_one_row(spark):
+    rows = spark.range(0, 400, 1, 200).select(R.order_key(F.lit("s"), F.monotonically_increasing_id()).alias("ord"), F.lit("one text").alias("text"))
+    assert dedup.exact_dedup(rows).count() == 1
+
+
+def test_file_urls_and_plain_paths_give_equal_rows(spark, tmp_path):
+    write(tmp_path / "a.txt", "one")
+    write(tmp_path / "b.jsonl", '{"text": "two"}\n{"text": "three"}')
+    write(tmp_path / "c.csv", "text\nfour")
+    read = lambda p: sorted((r.ord, r.text) for r in readers.read_records(spark, [p])[0].collect())
+    assert read(str(tmp_path)) == read("file://" + str(tmp_path)) and len(read(str(tmp_path))) == 4
+
+
+def test_unknown_schemes_are_errors(spark):
+    with pytest.raises(ValueError):
+        readers.read_found(spark, ["nowhere://host/a.txt"])
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    write(tmp_path / "a.jsonl", "".join(json.dumps({"text": f"line {i} " + "x" * 50}) + "\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+    try:
+        got = readers.read_records(spark, [str(tmp_path / "a.jsonl")])[0].orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line for r in got] == list(range(1, 2001)) and got[1999].text.startswith("line 1999 ")
+
+
+def test_registry():
+    from corpusloom.registry import TRANSFORMS, Registry
+
+    assert TRANSFORMS.get("Clean-Dataset") is TRANSFORMS.get("clean") and "near_dedup" in TRANSFORMS.names()
+    r = Registry("thing")
+    r.add("one", lambda: 1, "uno")
+    assert r.make("UNO") == 1
+    with pytest.raises(ValueError):
+        r.add("uno", int)
+    with pytest.raises(KeyError):
+        r.get("two")

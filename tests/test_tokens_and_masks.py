@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import bpe, extract, masking, packing, stats, tokens
 
-CHAT = "<|system|>\nBe brief.\n<|user|>\nName?\n<|assistant|>\nNajwan.\n"
+CHAT = "<|system|>\nSpeak plainly.\n<|user|>\nWhich tree is tallest?\n<|assistant|>\nThe redwood.\n"
 
 
 def test_byte_encoding_matches_python(spark):
@@ -71,7 +71,7 @@ def test_merging_in_order_equals_lowest_rank_first(text):
 def test_assistant_mask_keeps_only_the_answer():
     ids, labels = masking.assistant_mask(CHAT, tokens.byte_ids)
     said = tokens.byte_text([y for y in labels if y != masking.IGNORE])
-    assert said == "Najwan.\n" and len(ids) == len(labels) and labels[-1] == tokens.EOS
+    assert said == "The redwood.\n" and len(ids) == len(labels) and labels[-1] == tokens.EOS
     assert all(y in (masking.IGNORE, i) for i, y in zip(ids, labels))
 
 
@@ -163,3 +163,47 @@ def test_detectors(spark):
     assert df.where(stats.stop_match(F.col("ids"), [2, 3])).collect()[0].k == "cycle"
     ban = spark.createDataFrame([([1, 2, 3, 1, 2, 4, 1, 2],), ([1],), ([],)], "ids array<int>")
     assert [r.b for r in ban.select(stats.banned_next(F.col("ids"), 3).alias("b")).collect()] == [[3, 4], [], []]
+
+
+def test_many_small_shards_and_large_reads_agree(spark, tmp_path):
+    rows = [(f"d{i:03d}", [(i * 7 + k) % 250 for k in range(16)], [k if k % 3 else -100 for k in range(16)], "train") for i in range(300)]
+    seqs = spark.createDataFrame(rows, "ord string, input_ids array<int>, labels array<int>, split string").repartition(5)
+    packing.write_shards(seqs, "file://" + str(tmp_path), packing.ShardLayout(300, 1000), ["ord"], 16)
+    for chunk in (1, 7, 1000):
+        got = packing.read_shards(spark, str(tmp_path), chunk=chunk).orderBy("seq_no").collect()
+        assert [(r.input_ids, r.labels) for r in got] == [(r[1], r[2]) for r in rows]
+    assert packing.read_shards(spark, str(tmp_path), "val").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abcde", min_size=1, max_size=8), st.integers(1, 5)), min_size=1, max_size=12))
+def test_rounds_of_sure_merges_equal_single_merges(words):
+    rows = [([ord(c) for c in w], n) for w, n in words]
+    want = slow_bpe(rows, 6, 2)
+    got, left = [], [list(i) for i, _ in rows]
+    while len(got) < 6:
+        count = {}
+        for ids, (_, n) in zip(left, rows):
+            for p in zip(ids, ids[1:]):
+                count[p] = count.get(p, 0) + n
+        now = bpe.next_merges(sorted(((a, b, n) for (a, b), n in count.items()), key=lambda x: (-x[2], x[0], x[1])), 6 - len(got), 2)
+        if not now:
+            break
+        for k, (a, b) in enumerate(now):
+            left = [bpe.merge(ids, a, b, tokens.BPE_OFFSET + 256 + len(got) + k) for ids in left]
+        got += now
+    assert got == want
+
+
+def test_wrapped_tokenizers(spark, tmp_path):
+    tk = pytest.importorskip("tokenizers")
+    vocabulary = {"[UNK]": 0, "red": 1, "##wood": 2, "tree": 3}
+    t = tk.Tokenizer(tk.models.WordPiece(vocabulary, unk_token="[UNK]"))
+    t.pre_tokenizer = tk.pre_tokenizers.Whitespace()
+    path = str(tmp_path / "wp.json")
+    t.save(path)
+    encode, _ = tokens.load_tokenizer("WordPiece", path)
+    df = spark.createDataFrame([("redwood tree",), (None,), ("",), ("??",)], "t string").coalesce(1)
+    assert [r.i for r in df.select(encode(F.col("t")).alias("i")).collect()] == [[1, 2, 3], None, [], [0]]
+    with pytest.raises(ValueError):
+        tokens.tokenizer_type("no-such-type")
