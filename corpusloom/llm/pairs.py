@@ -7,7 +7,7 @@ the pair's defect. Clauses are sentences, lines and fenced code blocks.
 The field is trained here, on a bounded sample of the pairs (`SAMPLE`, by hash of the id): answers that
 show no sign of a defect are taken as they are, and are also turned into every defect by cutting
 them, by putting the question or an answer in another language in their place, or by putting a
-refusal made from phrases of each language. Languages are told apart by a naive Bayes model of
+refusal made from phrases of each language. The field is trained in rounds, so that it finds the sample's own refusals by the words that they share with these and learns their other words. Languages are told apart by a naive Bayes model of
 character trigrams and words, trained on the same sample. Both models are of fixed size.
 
 Defined cases: the answer is `response`, or `output` where that is null; null, blank and stand-in answers
@@ -31,8 +31,12 @@ from .budget import language_code
 from .forms import visual_form
 
 #: Pairs that both models are trained on, at most.
-SAMPLE = 3000
+SAMPLE = 5000
 EPOCHS = 9
+#: Rounds in which the field is trained, each on what the one before has found in the sample.
+ROUNDS = 3
+#: Expected share of an answer's text that refuses, from which it is a refusal; and from which it is no example of a sound answer.
+REFUSED, DOUBTFUL = 0.3, 0.12
 #: Clauses above which a made example isn't trained on; all answers are tagged whole.
 LONGEST = 24
 DIMENSIONS = 1 << 16
@@ -333,9 +337,8 @@ class Field:
             pair += np.exp(fwd[:, i - 1][:, :, None] + t + (s[:, i] + bwd[:, i])[:, None, :] - z[:, :, None]).sum(axis=0)
         return np.exp(fwd + bwd - z[:, :, None]), pair
 
-    def tag(self, features: list[list[int]]) -> list[int]:
-        """The most probable tags (Viterbi)."""
-        s = self.scores(features)
+    def tag(self, s: np.ndarray) -> list[int]:
+        """The most probable tags of clauses with these scores (Viterbi)."""
         k = s.shape[1]
         best, links = s[0] + self.moves[k], []
         for x in s[1:]:
@@ -348,8 +351,14 @@ class Field:
         return out[::-1]
 
 
-def defect(parts: list[str], tags: list[int], asks: bool) -> str | None:
-    """The defect by the share of text that each tag covers; a last clause that is unfinished suffices."""
+def refused_share(parts: list[str], scores: np.ndarray, field: Field) -> float:
+    """The share of an answer's text that its clauses refuse, as expected under the field."""
+    size = np.array([len(p) for p in parts], float)
+    return float(field.marginals(scores[None])[0][0, :, REFUSAL] @ size / size.sum())
+
+
+def defect(parts: list[str], tags: list[int], asks: bool, refused: float = 0.0) -> str | None:
+    """The defect by the share of text that each tag covers, for refusals the expected one; a last clause that is unfinished suffices."""
     size = [len(p) for p in parts]
     total = sum(size) or 1
     cover = Counter()
@@ -357,7 +366,7 @@ def defect(parts: list[str], tags: list[int], asks: bool) -> str | None:
         cover[y] += n / total
     if cover[ECHO] >= 0.6:
         return DEFECTS[ECHO]
-    if cover[REFUSAL] >= 0.5:
+    if cover[REFUSAL] >= 0.5 or refused >= REFUSED:
         return DEFECTS[REFUSAL]
     if cover[FOREIGN] >= 0.5 and not asks:
         return DEFECTS[FOREIGN]
@@ -366,6 +375,14 @@ def defect(parts: list[str], tags: list[int], asks: bool) -> str | None:
     return None
 
 
+def judge(question: str | None, parts: list[str], features: list[list[int]], field: Field) -> str | None:
+    """The defect of an answer by its clauses."""
+    if not features:
+        return "empty"
+    s = field.scores(features)
+    return defect(parts, field.tag(s), bool(LANGUAGE_NAMES.search(question or "")), refused_share(parts, s, field))
+
+
 def _subject(question: str, rng: random.Random) -> str:
     words = re.sub(r"[^\w\s]", "", question.split("\n", 1)[0]).split()
     k = rng.randint(0, max(0, len(words) - 3))
@@ -418,8 +435,11 @@ def cut(answer: str, rng: random.Random) -> str | None:
     return s + rng.choice(("", "", "", "", "...")) if not s.endswith((",", ";")) else s
 
 
-def examples(rows: list[tuple[str | None, str | None, str | None]], languages: Languages, seed: int = 11) -> list[tuple[list[list[int]], list[int]]]:
-    """Tagged answers made from a sample of (question, answer, language)."""
+def examples(rows: list[tuple[str | None, str | None, str | None]], languages: Languages, seed: int = 11) -> list[tuple[str | None, list[list[int]], list[int]]]:
+    """Answers made from a sample of (question, answer, language): the answer that each is made from, its clauses' features and tags.
+
+    Answers that hold a phrase of the made refusals are not taken as sound, wherever it stands.
+    """
     rng = random.Random(seed)
     sound = []
     for q, a, _ in rows:
@@ -430,12 +450,13 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
         qg, ag = _grams(q), _grams(a)
         if good and len(a) > 30 and (_TERMINAL.search(a) or a.rstrip().endswith("```")) and a.count("```") % 2 == 0 and len(ag & qg) < 0.85 * len(ag) and not re.search(r"[.]{3}$|…$", a.strip()):
             sound.append((q, a, mine))
-    core = {lang: re.compile("|".join(sorted({re.escape(c.split("{}")[0].strip().casefold()) for c in r[1] if len(c.split("{}")[0]) > 8}))) for lang, r in REFUSALS.items()}
-    sound = [x for x in sound if not core.get(x[2], core["en"]).search(x[1].casefold().replace("’", "'")[:160])]
+    said = {lang: re.compile("|".join(sorted({re.escape(p) for c in (*r[0], *r[1], *r[2]) for p in [c.split("{}")[0].strip(" .,:;!?¿").casefold()] if len(p) > 8}))) for lang, r in REFUSALS.items()}
+    sound = [x for x in sound if not said.get(x[2], said["en"]).search(x[1].casefold().replace("’", "'"))]
     by_lang = defaultdict(list)
     for x in sound:
         by_lang[x[2]].append(x)
-    out: list[tuple[list[list[int]], list[int]]] = []
+    out: list[tuple[str | None, list[list[int]], list[int]]] = []
+    source: str | None = None
 
     def add(q: str, a: str, tag: int | None, last: int | None = None) -> None:
         parts, f = describe(q, a, languages)
@@ -444,9 +465,10 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
         tags = [ANSWER if tag is None else tag] * len(f)
         if last is not None:
             tags[-1] = last
-        out.append((f, tags))
+        out.append((source if tag in (None, FOREIGN) else None, f, tags))
 
     for q, a, lang in sound:
+        source = a
         add(q, a, None)
         kinds = set(rng.sample(range(8), 3))
         if kinds & {0, 1}:
@@ -458,12 +480,13 @@ def examples(rows: list[tuple[str | None, str | None, str | None]], languages: L
             add(q, make_echo(q, rng), ECHO)
         if 4 in kinds and len(by_lang) > 1:
             other = rng.choice([k for k in sorted(by_lang) if k != lang])
-            b = rng.choice(by_lang[other])[1]
+            b = source = rng.choice(by_lang[other])[1]
             if "```" not in b:
                 add(q, b, FOREIGN)
                 name = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "pt": "Portuguese", "ru": "Russian"}.get(other)
                 if name:
                     add(rng.choice(("Translate this into {}:\n{}", "Please answer in {}. {}")).format(name, q), b, None)
+            source = a
         if 5 in kinds:  # sound answers without full stops: lists, bare sentences, one word
             parts = [re.sub(r"[.!?]+$", "", p) for p in clauses(a) if not p.startswith("```")]
             style = rng.randrange(4)
@@ -494,8 +517,28 @@ def train_models(df: DataFrame, sample: int = SAMPLE) -> tuple[Languages, Field]
     # answers add words the questions lack; those that contradict their question's language are left out
     more = [(lang, a) for q, a, lang in rows if lang and languages.best(a) == lang and not LANGUAGE_NAMES.search(q)]
     languages = Languages.train([(lang, q) for q, _, lang in rows if lang] + more)
+    return languages, train_field(rows, languages)
+
+
+def train_field(rows: list[tuple[str | None, str | None, str | None]], languages: Languages) -> Field:
+    """The field, trained in `ROUNDS` rounds: the sample's own refusals are in other words than the made ones, so each round tags the sample's
+    answers, takes those that it finds to be refusals as such, and takes none of those that may be refusals as sound."""
     made = examples(rows, languages)
-    return languages, Field().train(made) if made else Field()
+    own = {a: parts_and_features for q, a, _ in rows if q and not is_empty(a) and (parts_and_features := describe(q, a, languages))[1] and len(parts_and_features[0]) <= LONGEST}
+    field, refusals, doubtful = Field(), [], set()
+    for k in range(ROUNDS):
+        kept = [(f, y) for source, f, y in made if source not in doubtful] + refusals
+        if not kept:
+            return field
+        field = Field().train(kept, EPOCHS if k == ROUNDS - 1 else max(3, EPOCHS // 3))
+        refusals, doubtful = [], set()
+        for a, (parts, f) in own.items():
+            share = refused_share(parts, field.scores(f), field)
+            if share > DOUBTFUL:
+                doubtful.add(a)
+            if share > REFUSED:
+                refusals.append((f, [REFUSAL] * len(f)))
+    return field
 
 
 def pair_columns(df: DataFrame) -> DataFrame:
@@ -526,7 +569,7 @@ def pair_defects(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     kind = "empty"
                 else:
                     parts, f = describe(q, a, languages)
-                    kind = defect(parts, field.tag(f), bool(LANGUAGE_NAMES.search(q or ""))) if f else "empty"
+                    kind = judge(q, parts, f, field)
                 if kind:
                     ids.append(i)
                     found.append(kind)
