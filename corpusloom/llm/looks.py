@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 from . import forms
 
 FORM_TYPES = "id long, key long, look long, look2 long, stored long, length int, side byte"
@@ -84,7 +86,7 @@ def same_look_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "t
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("byte").alias("side"))
     have = look_hashes(rows).where(F.col("length") >= least_chars)
     by = ["key", "look", "look2"]
-    have = have.select(*by, "stored", "id").distinct()
+    have = materialize(have.select(*by, "stored", "id").distinct(), "looks")  # five numbers a record, so that texts are read once
     variants = have.select(*by, "stored").distinct()
     several = variants.groupBy(*by).agg(F.collect_set("stored").alias("all")).where(F.size("all") > 1)
     pair = several.select(*by, F.explode("all").alias("stored"), "all").select(*by, F.col("stored").alias("s1"), F.explode("all").alias("s2")).where("s1 < s2")

@@ -36,7 +36,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(_p6_pairs(spark, d), _read(spark, d, "records"))
+    rows = _read(spark, d, "records", "record_id", "text", "split_name")
+    found = overlap.overlap_classes(rows, threshold=0.6, shingle=3, least_words=30, least_chars=16)
+    return overlap.class_report(*found, _read(spark, d, "records", "record_id", "split_name", "source"))
 
 
 def p2_draws(spark: SparkSession, d: str) -> DataFrame:

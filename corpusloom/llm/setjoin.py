@@ -7,7 +7,7 @@ sets form one class, named by a 64-bit fingerprint, so copies cost one entry how
    hash buckets, never too low). It only orders the sequences, rare ones first; any order that all
    tasks share gives exact results, so bucket collisions cost time, not pairs. A bucket counted once
    proves that its sequence joins nothing.
-2. `postings`: the prefix of each set in that order. Two sets of similarity >= t share `MATCHES`
+2. `postings`: the prefix of each set in that order (of two sides, first those of the index, then the entries of the other that meet it). Two sets of similarity >= t share `MATCHES`
    sequences of their prefixes (all they need to share, if that is fewer). Entries travel packed by hash bucket. A sequence that very many texts hold in
    their prefix is split into pairs of blocks, each pair its own entry list.
 3. `candidates`: within a bucket, lists are split by size and ordered by position. For a list and a
@@ -37,11 +37,13 @@ from corpusloom.session import materialize, partitions
 
 from . import forms
 
-#: log2 of the sketch's buckets; the broadcast array has that many bytes, whatever the input.
-SKETCH_BITS = 24
+#: log2 of the sketch's buckets, least and most; the broadcast array has that many bytes. In between, a bucket for every eight bytes of input.
+SKETCH_BITS, SKETCH_MOST = 24, 27
 SLICE_BITS = 16
-#: log2 of the bits of the filter that names texts to verify; fixed size, false positives only cost time.
-FILTER_BITS = 26
+#: Bits of a filter for each value in it, and log2 of the bits that a filter has at most (128 MB); beyond these the texts to verify are found by a join.
+FILTER_LOAD, FILTER_MOST = 16, 30
+#: Prefix entries that a task of the candidate search holds, about; the number of tasks follows from the counted entries.
+BUCKET_ENTRIES = 2_000_000
 #: Entries of one sequence above which its list is split into pairs of blocks.
 HOT = 20_000
 #: Sequences of their prefixes that two sets must share; each more lengthens the prefix by one and saves false candidates.
@@ -107,15 +109,22 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column("text").to_pylist()
 
 
-SKETCH_SCHEMA = "slice int, counts binary, fp long, id long, side byte"
+SKETCH_SCHEMA = "slice int, counts binary, fp long, id long, side byte, elements long, entries long"
 
 
-def scan_sets(df: DataFrame, shingle: int, least_words: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """One pass over `df(id, text, side)`: rows of members (fp, id, side), and this task's counts by slice."""
+def sketch_bits(df: DataFrame) -> int:
+    """log2 of the sketch's buckets by the size that Spark estimates for the input, which runs nothing; the least where it has no estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return SKETCH_BITS if size >= 1 << 60 else min(SKETCH_MOST, max(SKETCH_BITS, (size // 8).bit_length()))
+
+
+def scan_sets(df: DataFrame, t: Fraction, shingle: int, least_words: int, bits: int = SKETCH_BITS) -> DataFrame:
+    """One pass over `df(id, text, side)`: rows of members (fp, id, side), this task's counts by slice, and a row of its elements and prefix entries."""
 
     def run(it):
         counts = np.zeros(1 << bits, np.uint16)
         z = zstandard.ZstdCompressor(level=1)
+        elements = entries = 0
         for batch in it:
             texts = _texts(batch)
             ids, sides = batch.column("id").to_numpy(zero_copy_only=False), batch.column("side").to_numpy(zero_copy_only=False)
@@ -125,6 +134,8 @@ def scan_sets(df: DataFrame, shingle: int, least_words: int, bits: int = SKETCH_
                 counts[b] = np.minimum(counts[b].astype(np.int64) + n, 65535)
                 fps.append(fingerprints(sets, off))
                 who.append(ix)
+                elements += len(sets)
+                entries += int(prefix_length(np.diff(off), t).sum())
             if fps:
                 fp, ix = np.concatenate(fps), np.concatenate(who)
                 yield _batch(len(fp), fp=fp, id=ids[ix], side=sides[ix])
@@ -134,8 +145,9 @@ def scan_sets(df: DataFrame, shingle: int, least_words: int, bits: int = SKETCH_
         for at in range(0, len(blobs), 64):
             part = blobs[at : at + 64]
             yield _batch(len(part), slice=[k for k, _ in part], counts=[c for _, c in part])
+        yield _batch(1, elements=[elements], entries=[entries])
 
-    types = {"slice": pa.int32(), "counts": pa.binary(), "fp": pa.int64(), "id": pa.int64(), "side": pa.int8()}
+    types = {"slice": pa.int32(), "counts": pa.binary(), "fp": pa.int64(), "id": pa.int64(), "side": pa.int8(), "elements": pa.int64(), "entries": pa.int64()}
 
     def _batch(n: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in types.items()], list(types))
@@ -175,10 +187,14 @@ def count_of(code: np.ndarray) -> np.ndarray:
     return np.where(code < 2, code, np.exp2((code.astype(float) + 1) / 4))
 
 
+#: Bits of a token's hash that travel with an entry; its bucket stands for others.
+TOKEN = np.uint64((1 << 48) - 1)
+
+
 def _pack(tokens, fps, sizes, poss, sides, z) -> bytes:
     wide = bool(len(sizes)) and int(sizes.max()) > 65535
     kind = np.uint32 if wide else np.uint16
-    parts = [np.array([len(tokens), wide], np.uint32), tokens.astype(np.uint32), fps, sizes.astype(kind), poss.astype(kind), sides.astype(np.uint8)]
+    parts = [np.array([len(tokens), wide], np.uint32), tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16), fps, sizes.astype(kind), poss.astype(kind), sides.astype(np.uint8)]
     return z.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
 
 
@@ -188,23 +204,33 @@ def _unpack(blob: bytes, d) -> tuple[np.ndarray, ...]:
     kind, w = (np.uint32, 4) if wide else (np.uint16, 2)
     at = 8
     out = []
-    for dt, width in ((np.uint32, 4), (np.int64, 8), (kind, w), (kind, w), (np.uint8, 1)):
+    for dt, width in ((np.uint32, 4), (np.uint16, 2), (np.int64, 8), (kind, w), (kind, w), (np.uint8, 1)):
         out.append(np.frombuffer(raw, dt, n, at))
         at += n * width
-    return out[0], out[1], out[2].astype(np.uint32), out[3].astype(np.uint32), out[4]
+    return out[0] | out[1].astype(np.uint64) << np.uint64(32), out[2], out[3].astype(np.uint32), out[4].astype(np.uint32), out[5]
+
 
+def postings(df: DataFrame, codes, t: Fraction, shingle: int, least_words: int, buckets: int, bits: int = SKETCH_BITS, hot: int = HOT, load: float = 0.0, index=None) -> DataFrame:
+    """Packed prefix entries `(bucket, entries)` of `df(text, side)`; side 0 joins with itself, 1 only with 2.
 
-def postings(df: DataFrame, codes, t: Fraction, shingle: int, least_words: int, buckets: int, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
-    """Packed prefix entries `(bucket, entries)` of `df(text, side)`; side 0 joins with itself, 1 only with 2."""
+    `load` is how much of a bucket's count is due to other sequences on average. With `index`, a broadcast filter of the other side's tokens, entries that
+    it lacks are left out at once, as they meet nothing.
+    """
 
     def run(it):
         z = zstandard.ZstdCompressor(level=1)
         code = codes.value
         seen: set[tuple[int, int]] = set()
+        got, held = defaultdict(list), 0
+
+        def flush():
+            rows = [(b, _pack(*(np.concatenate(x) for x in zip(*v)), z)) for b, v in got.items()]
+            got.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
+
         for batch in it:
             texts = _texts(batch)
             sides = batch.column("side").to_numpy(zero_copy_only=False)
-            got = defaultdict(list)
             for ix, sets, off in text_sets(texts, shingle, least_words):
                 fps, n = fingerprints(sets, off), np.diff(off)
                 side = sides[ix]
@@ -220,7 +246,12 @@ def postings(df: DataFrame, codes, t: Fraction, shingle: int, least_words: int,
                 if not len(tok):
                     continue
                 h, s = forms.mix(tok * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), side[d]
-                blocks = np.ceil(count_of(c) / hot).astype(np.int64)
+                blocks = np.ceil((count_of(c) - load) / hot).astype(np.int64)
+                if index is not None:
+                    m = (blocks > 1) | index.value.has(h & TOKEN)
+                    h, d, p, s, blocks = h[m], d[m], p[m], s[m], blocks[m]
+                    if not len(h):
+                        continue
                 if (blocks > 1).any():
                     h, d, p, s = _split(h, d, p, s, blocks, fps)
                 b = (h >> np.uint64(40)).astype(np.int64) % buckets
@@ -229,10 +260,13 @@ def postings(df: DataFrame, codes, t: Fraction, shingle: int, least_words: int,
                 cut = np.flatnonzero(np.diff(b)) + 1
                 for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(b)]):
                     x = slice(lo, hi)
-                    got[int(b[lo])].append((h[x].astype(np.uint32), fps[d[x]], n[d[x]], p[x], s[x]))
-            rows = [(b, _pack(*(np.concatenate(x) for x in zip(*v)), z)) for b, v in got.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
+                    got[int(b[lo])].append((h[x] & TOKEN, fps[d[x]], n[d[x]], p[x], s[x]))
+                held += len(b)
+                if held > CHUNK // 2:
+                    yield flush()
+                    held = 0
+        if got:
+            yield flush()
 
     return df.select("text", "side").mapInArrow(run, "bucket int, entries binary")
 
@@ -243,7 +277,7 @@ def _split(h, d, p, s, blocks, fps):
     A pair (i, j) of blocks is a list of its own, whose entries are of side 1 (block i) or 2 (block j); i = j stays
     side 0. Where the sides are given already, side 1's blocks are paired with side 2's.
     """
-    parts = [[h[blocks == 1]], [d[blocks == 1]], [p[blocks == 1]], [s[blocks == 1]]]
+    parts = [[h[blocks <= 1]], [d[blocks <= 1]], [p[blocks <= 1]], [s[blocks <= 1]]]
     for nb in np.unique(blocks[blocks > 1]).tolist():
         m = blocks == nb
         hh, dd, pp, ss = h[m], d[m], p[m], s[m]
@@ -363,15 +397,34 @@ def _pairs(p: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p[:, k]) for k in range(4)], ["a", "b", "must", "n"])
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size that passes every value of the long `column`, and some others; built in parallel."""
+class BitFilter:
+    """A filter that has every value put into it, and some others."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        k = filter_bit(values, self.bits)
+        return ((self.data[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def filter_bit(values: np.ndarray, bits: int) -> np.ndarray:
+    return (forms.mix(values.view(np.uint64) + np.uint64(7)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bit_filter(df: DataFrame, values, count: int, most: int | None = None) -> BitFilter | None:
+    """A filter of the numbers that `values(batch)` gives for the batches of `df`, built in parallel with `FILTER_LOAD` bits for each of
+    `count` values; None where these would be more than 2^`most` bits in all."""
+    bits = max(16, (FILTER_LOAD * max(count, 1) - 1).bit_length())
+    if bits > (FILTER_MOST if most is None else most):
+        return None
     spark = df.sparkSession
     step = (1 << bits) // 64
 
     def run(it):
         have = np.zeros(1 << bits, bool)
         for batch in it:
-            have[_filter_bit(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+            have[filter_bit(values(batch), bits)] = True
         z = zstandard.ZstdCompressor(level=1)
         rows = [(k, z.compress(np.packbits(have[k * step : (k + 1) * step]).tobytes())) for k in range(64) if have[k * step : (k + 1) * step].any()]
         if rows:
@@ -387,26 +440,20 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["k", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    parts = df.select(column).mapInArrow(run, "k int, bits binary").repartition(partitions(spark), "k").mapInArrow(join, "k int, bits binary")
+    parts = df.mapInArrow(run, "k int, bits binary").repartition(min(64, partitions(spark)), "k").mapInArrow(join, "k int, bits binary")
     for k, blob in parts.collect():  # 2^bits bits in all
         out[k * step // 8 : (k + 1) * step // 8] = np.frombuffer(blob, np.uint8)
-    return out
-
-
-def _filter_bit(values: np.ndarray, bits: int) -> np.ndarray:
-    return (forms.mix(values.view(np.uint64) + np.uint64(7)) >> np.uint64(64 - bits)).astype(np.int64)
+    return BitFilter(bits, out)
 
 
-def sets_of(df: DataFrame, wanted, shingle: int, least_words: int, bits: int = FILTER_BITS) -> DataFrame:
-    """`(fp, elements)` of the texts of `df(id, text)` whose id the broadcast filter passes; once per task and fp."""
+def sets_of(df: DataFrame, shingle: int, least_words: int, wanted=None) -> DataFrame:
+    """`(fp, elements)` of the texts of `df(id, text)`, with `wanted` of those whose id the broadcast filter has; once per task and fp."""
 
     def run(it):
-        have = wanted.value
         seen: set[int] = set()
         for batch in it:
-            k = _filter_bit(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), bits)
-            m = (have[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(m.astype(bool)))
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.has(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64))))
             rows = []
             for _, sets, off in text_sets(_texts(batch), shingle, least_words):
                 for i, f in enumerate(fingerprints(sets, off).tolist()):
@@ -514,19 +561,44 @@ def verify(cand: DataFrame, sets: DataFrame, t: Fraction, group: int = GROUP) ->
     return rows.mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
 
 
-def similar_classes(df: DataFrame, t: Fraction, shingle: int, least_words: int, bits: int = SKETCH_BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def _tokens(batch: pa.RecordBatch) -> np.ndarray:
+    d = zstandard.ZstdDecompressor()
+    parts = [_unpack(blob, d)[0] for blob in batch.column("entries").to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def similar_classes(df: DataFrame, t: Fraction, shingle: int, least_words: int, bits: int | None = None, hot: int = HOT, bucket_entries: int = BUCKET_ENTRIES, filter_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The join over `df(id, text, side)`: members `(fp, id, side)` and the similar class pairs `(a, b, overlap, size_a, size_b)`.
 
-    With sides 1 and 2, pairs are between them, unordered. Members of one class have equal sets.
+    With sides 1 and 2, pairs are between them, unordered: the prefixes of side 2 are the index, and side 1 probes it, so that of its entries only those travel whose
+    token the index has. Members of one class have equal sets. The number of buckets follows from the counted entries, so a task's memory does not grow with the input.
     """
     spark = df.sparkSession
-    scanned = materialize(scan_sets(df, shingle, least_words, bits), "scan")
+    bits = sketch_bits(df) if bits is None else bits
+    scanned = materialize(scan_sets(df, t, shingle, least_words, bits), "scan")
     codes = spark.sparkContext.broadcast(sum_sketch(scanned, bits))
+    sums = scanned.where("entries is not null").agg(F.sum("elements").alias("elements"), F.sum("entries").alias("entries")).first()
+    elements, entries = sums.elements or 0, sums.entries or 0
+    buckets = max(partitions(spark), -(-entries // bucket_entries))
     members = scanned.where("fp is not null").select("fp", "id", "side").distinct()
-    buckets = partitions(spark)
-    cand = materialize(candidates(postings(df, codes, t, shingle, least_words, buckets, bits, hot), t, buckets), "candidates")
+    load = elements / (1 << bits)
+
+    def post(part: DataFrame, index=None) -> DataFrame:
+        return postings(part, codes, t, shingle, least_words, buckets, bits, hot, load, index)
+
+    sides = dict(scanned.where("fp is not null").groupBy("side").agg(F.count("*")).collect())  # three rows at most
+    if 2 not in sides:
+        posted = post(df)
+    elif 0 in sides:
+        raise ValueError("rows of side 0 can't be joined together with sides 1 and 2")
+    else:
+        asked = materialize(post(df.where("side = 2")), "index")
+        index = bit_filter(asked.select("entries"), _tokens, 2 * entries * sides[2] // sum(sides.values()), filter_most)
+        posted = asked.union(post(df.where("side = 1"), None if index is None else spark.sparkContext.broadcast(index)))
+    cand = materialize(candidates(posted, t, buckets), "candidates")
     named = cand.select(F.col("a").alias("fp")).union(cand.select("b")).distinct()
-    ids = members.join(named, "fp", "left_semi")
-    wanted = spark.sparkContext.broadcast(bit_filter(ids, "id"))
-    pairs = verify(cand, sets_of(df, wanted, shingle, least_words), t)
+    ids = materialize(members.join(named, "fp", "left_semi").select("id"), "wanted")
+    wanted = bit_filter(ids, lambda batch: batch.column(0).to_numpy(zero_copy_only=False), ids.count(), filter_most)
+    texts = df if wanted is not None else df.join(ids.distinct(), "id", "left_semi")
+    pairs = verify(cand, sets_of(texts, shingle, least_words, None if wanted is None else spark.sparkContext.broadcast(wanted)), t)
     return members, pairs

@@ -90,6 +90,23 @@ def test_overlaps_of_splits(spark):
     assert got == want and want
     report = overlap.overlap_report(overlap.split_overlaps(df.withColumn("source", F.lit("s")), threshold=0.6, shingle=3, least_words=6), df.withColumn("source", F.lit("s")))
     assert sum(r.pairs for r in report.collect()) == len(want)
+    sourced = df.withColumn("source", F.concat(F.lit("s"), F.col("record_id") % 3))
+    whole = overlap.overlap_report(overlap.split_overlaps(sourced, threshold=0.6, shingle=3, least_words=6), sourced)
+    by_class = overlap.class_report(*overlap.overlap_classes(sourced, threshold=0.6, shingle=3, least_words=6), sourced)
+    assert sorted(map(tuple, by_class.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_the_join_is_the_same_in_many_buckets_and_without_filters(spark):
+    rows = [(i, s) for i, s in collection(11) if i]
+    df = spark.createDataFrame(rows, "id long, text string")
+    split = df.withColumn("side", F.when(F.col("id") % 3 == 0, 2).otherwise(1).cast("byte"))
+    for frame in (df.withColumn("side", F.lit(0).cast("byte")), split):
+        want = None
+        for given in ({}, {"bucket_entries": 50}, {"filter_most": 10}, {"bits": 8, "filter_most": 10, "bucket_entries": 200}):
+            _, pairs = setjoin.similar_classes(frame, Fraction(3, 5), 3, 6, **given)
+            got = {(r.a, r.b, r.overlap) for r in pairs.collect()}
+            want = want or got
+            assert got == want and got
 
 
 @settings(max_examples=50, deadline=None)
