@@ -4,10 +4,10 @@ Method: each source's records, in a pseudorandom order, are packed into blocks o
 tokens (a record belongs to the block in which it starts). A source's quota of tokens is its weight
 of the mix's target, at most `max_repeats` times what it has. The slots of a source run through
 its blocks once an epoch, each epoch in the order of its own pseudorandom permutation of the block
-indices; slots and blocks meet by index. The last epoch ends in the middle of a block, which is filled
-with the records that meet the quota best. How many of a source's slots go to each output shard
-is drawn from the multinomial distribution given the source totals (so shares hold exactly over all
-shards and vary at random within each).
+indices; slots and blocks meet by index. The last epoch ends in the middle of a block; a last slot is filled
+with the records of the next blocks that meet the quota best. All slots of a mix are put into the places of the output by one more pseudorandom
+permutation, and shards are stretches of places of equal length: so the counts of the sources in a shard are multinomial given the totals (shares hold
+exactly over all shards and vary at random within each), at any size and without a draw on the driver.
 
 Defined cases: a repeated row of the weights counts once; weights need not sum to 1; a null cap is no
 cap; a zero or null weight and sources without records get a wanted share and no records; null
@@ -30,6 +30,17 @@ BLOCK = 2048
 NEAR = 8
 SHARDS = 16
 SEED = 1337
+#: Stretches of a source's pseudorandom order whose totals are taken apart, so no task sorts a source.
+STRETCHES = 1 << 16
+#: Slots that one row is unfolded to at once.
+UNFOLD = 1 << 12
+#: Rows up to which a table made from the mix weights is broadcast; larger ones are joined as Spark sees fit.
+CONFIGURED = 100_000
+
+
+def configured(df: DataFrame) -> DataFrame:
+    """A table made from the mix weights, broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.limit(CONFIGURED + 1).count() <= CONFIGURED else df
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -97,39 +108,84 @@ def quotas(weights: DataFrame, have: DataFrame) -> DataFrame:
     return q.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("stock"))
 
 
-def draw(records: DataFrame, weights: DataFrame, block: int = BLOCK, seed: int = SEED, split: str | None = "train") -> tuple[DataFrame, DataFrame]:
-    """`(mix_id, source, record_id, block, repeats, tokens)` of the drawn records, and the quotas."""
-    listed = weights.select("source").distinct()
-    have = materialize(supply(records, split).join(F.broadcast(listed), "source"), "supply")  # the weights table is configuration
-    q = materialize(quotas(weights, have), "quotas")
-    rough = F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(64))
+def placed_blocks(records: DataFrame, weights: DataFrame, block: int, seed: int, split: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records `(source, record_id, tokens, block)`, numbered blocks `(source, block, block_tokens, at)`, and the quotas with each source's number of blocks."""
+    have = materialize(supply(records, split).join(configured(weights.select("source").distinct()), "source"), "supply")
+    rough = F.pmod(F.xxhash64("record_id", F.lit(seed)), F.lit(STRETCHES))
     ordered = running_total(
         have.withColumn("rough", rough).withColumn("fine", F.xxhash64("record_id", F.lit(seed + 1))), ["source"], "rough", ["fine", "record_id"], "tokens", "before"
     )
-    placed = ordered.select("source", "record_id", "tokens", "before", F.floor(F.col("before") / block).cast("long").alias("block"))
-    placed = materialize(placed, "placed")
+    placed = materialize(ordered.select("source", "record_id", "tokens", F.floor(F.col("before") / block).cast("long").alias("block")), "placed")
     blocks = placed.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     # a block is named by its place among the source's blocks, as a long record leaves numbers unused
     numbered = running_total(blocks.withColumn("one", F.lit(1)).withColumn("rough", F.floor(F.col("block") / 1024)), ["source"], "rough", ["block"], "one", "at")
-    size = blocks.groupBy("source").agg(F.count("*").alias("blocks"))
-    slots = numbered.join(F.broadcast(size), "source").join(F.broadcast(q.where("quota > 0").select("mix_id", "source", "epochs", "rest")), "source")
-    slots = slots.withColumn("slot", permuted(F.col("at"), F.col("blocks"), F.xxhash64("mix_id", "source", "epochs", F.lit(seed))))
-    slots = running_total(slots.withColumn("rough2", F.floor(F.col("slot") / 1024)), ["mix_id", "source"], "rough2", ["slot"], "block_tokens", "drawn")
-    slots = slots.select("mix_id", "source", "block", "epochs", "at", "blocks", "slot", "block_tokens", (F.col("rest") - F.col("drawn")).alias("open"))
-    both = placed.join(slots, ["source", "block"])
-    whole = F.col("open") >= F.col("block_tokens")
-    cut = ~whole & (F.col("open") > -NEAR * block)  # the block in which the quota ends, and the next few
+    numbered = materialize(numbered.select("source", "block", "block_tokens", "at"), "blocks")
+    size = numbered.groupBy("source").agg(F.count("*").alias("blocks"))
+    q = quotas(weights, have).join(size, "source", "left").fillna({"blocks": 0})
+    return placed, numbered, materialize(q, "quotas")
+
+
+def unfold(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row `n` times, numbered from 0 in `name`; unfolded in two steps, so no row becomes a long array."""
+    last = F.floor((n - 1) / UNFOLD)
+    part = rows.where(n > 0).withColumn("_n", n).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    own = F.sequence(F.col("_part") * UNFOLD, F.least((F.col("_part") + 1) * UNFOLD, F.col("_n")) - 1)
+    return part.withColumn(name, F.explode(own)).drop("_n", "_part")
+
+
+def slots(records: DataFrame, weights: DataFrame, block: int = BLOCK, seed: int = SEED, split: str | None = "train", shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`(mix_id, source, slot, block, record_id, shard, place)` of the slots, the placed records, and the quotas.
+
+    A slot takes a whole block (`record_id` null), but for a source's last, which takes single records of one or several blocks.
+    """
+    placed, numbered, q = placed_blocks(records, weights, block, seed, split)
+    want = configured(q.where("quota > 0").select("mix_id", "source", "epochs", "rest", "blocks"))
+    key = F.xxhash64("mix_id", "source", "epoch", F.lit(seed))
+    # the last epoch: which of its slots are whole, by the running total in the order of the slots
+    last = unfold(want.where("rest > 0"), F.col("blocks"), "turn").withColumn("epoch", F.col("epochs"))
+    last = last.withColumn("at", permuted(F.col("turn"), F.col("blocks"), key)).join(numbered, ["source", "at"])
+    last = running_total(last.withColumn("rough", F.floor(F.col("turn") / 1024)), ["mix_id", "source"], "rough", ["turn"], "block_tokens", "drawn")
+    last = materialize(last.select("mix_id", "source", "epochs", "blocks", "turn", "block", "block_tokens", (F.col("rest") - F.col("drawn")).alias("open")), "last")
+    is_whole = F.col("open") >= F.col("block_tokens")
+    whole = last.where(is_whole).select("mix_id", "source", (F.col("epochs") * F.col("blocks") + F.col("turn")).alias("slot"), "block")
+    cut = last.where(~is_whole & (F.col("open") > -NEAR * block))  # the block in which the quota ends, and the next few
     fitted = (
-        both.where(cut)
-        .select("mix_id", "source", "record_id", "tokens", "open")
+        placed.join(cut.select("mix_id", "source", "block", "open"), ["source", "block"])
+        .select("mix_id", "source", "record_id", "tokens", "block", "open")
         .groupBy("mix_id", "source")
-        .applyInPandas(_fit, "mix_id string, source string, record_id long")
-        .withColumn("fits", F.lit(1))
+        .applyInPandas(_fit, "mix_id string, source string, record_id long, block long")
     )
-    marked = both.join(fitted, ["mix_id", "source", "record_id"], "left")
-    extra = F.when(whole, 1).when(cut, F.coalesce("fits", F.lit(0))).otherwise(0)
-    drawn = marked.withColumn("repeats", (F.col("epochs") + extra).cast("long")).where("repeats > 0")
-    return drawn.select("mix_id", "source", "record_id", "block", "repeats", "tokens"), q
+    ends = last.groupBy("mix_id", "source").agg(F.coalesce(F.max(F.when(is_whole, F.col("turn") + 1)), F.lit(0)).alias("turns"))
+    filling = fitted.join(configured(want.join(ends, ["mix_id", "source"]).select("mix_id", "source", (F.col("epochs") * F.col("blocks") + F.col("turns")).alias("slot"))), ["mix_id", "source"])
+    # whole epochs
+    turns = unfold(want, F.col("epochs") * F.col("blocks"), "slot").withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
+    turns = turns.withColumn("at", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key))
+    full = turns.join(numbered.select("source", "at", "block"), ["source", "at"]).select("mix_id", "source", "slot", "block")
+    none = F.lit(None).cast("long").alias("record_id")
+    every = full.union(whole).select("mix_id", "source", "slot", "block", none).unionByName(filling.select("mix_id", "source", "slot", "block", "record_id"))
+    every = materialize(every, "slots")
+    # places: the slots of a mix, source by source, through one permutation
+    count = every.groupBy("mix_id", "source").agg((F.max("slot") + 1).alias("own"))
+    w = Window.partitionBy("mix_id")
+    offsets = count.select("mix_id", "source", (F.sum("own").over(w.orderBy("source")) - F.col("own")).alias("offset"), F.sum("own").over(w).alias("all"))  # a row for each row of the weights
+    laid = every.join(configured(offsets), ["mix_id", "source"])
+    laid = laid.withColumn("place", permuted(F.col("offset") + F.col("slot"), F.col("all"), F.xxhash64("mix_id", F.lit(seed + 2))))
+    shard = F.expr(f"(place * {int(shards)}) div all").cast("int")
+    return laid.select("mix_id", "source", "slot", "block", "record_id", shard.alias("shard"), "place"), placed, q
+
+
+def draw(records: DataFrame, weights: DataFrame, block: int = BLOCK, seed: int = SEED, split: str | None = "train") -> tuple[DataFrame, DataFrame]:
+    """`(mix_id, source, record_id, block, repeats, tokens)` of the drawn records, and the quotas; the slots of `slots` joined to the records of their blocks."""
+    laid, placed, q = slots(records, weights, block, seed, split)
+    return drawn_records(laid, placed), q
+
+
+def drawn_records(laid: DataFrame, placed: DataFrame) -> DataFrame:
+    """How often each record is drawn by the slots."""
+    whole = laid.where("record_id is null").groupBy("mix_id", "source", "block").agg(F.count("*").alias("n"))
+    by_block = placed.join(whole, ["source", "block"]).select("mix_id", "source", "record_id", "block", "tokens", "n")
+    single = laid.where("record_id is not null").select("mix_id", "source", "record_id").join(placed, ["source", "record_id"]).select("mix_id", "source", "record_id", "block", "tokens", F.lit(1).cast("long").alias("n"))
+    return by_block.unionByName(single).groupBy("mix_id", "source", "record_id").agg(F.max("block").alias("block"), F.sum("n").alias("repeats"), F.max("tokens").alias("tokens"))
 
 
 def _fit(block: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +199,7 @@ def _fit(block: pd.DataFrame) -> pd.DataFrame:
             rest.append((r.tokens, r.record_id))
     if rest and min(rest)[0] - room < room:
         taken.append(min(rest)[1])
-    return block[block["record_id"].isin(taken)][["mix_id", "source", "record_id"]]
+    return block[block["record_id"].isin(taken)][["mix_id", "source", "record_id", "block"]]
 
 
 def shares(drawn: DataFrame, q: DataFrame) -> DataFrame:
@@ -157,28 +213,6 @@ def shares(drawn: DataFrame, q: DataFrame) -> DataFrame:
     return out.withColumn("actual_share", F.when(total > 0, F.col("actual_tokens") / total).otherwise(0.0))
 
 
-def shard_counts(totals: dict[str, int], shards: int = SHARDS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Slots of each source in each shard: multinomial draws given the totals, shards of equal size up to one."""
-    names = sorted(totals)
-    left = np.array([totals[k] for k in names], np.int64)
-    rng = np.random.default_rng(seed)
-    out = {k: np.zeros(shards, np.int64) for k in names}
-    for j in range(shards):
-        n = -(-int(left.sum()) // (shards - j))
-        for i, k in enumerate(names):
-            rest = int(left[i:].sum())
-            take = int(rng.hypergeometric(left[i], rest - left[i], n)) if n and rest and rest < 10**9 else min(int(left[i]), round(n * left[i] / max(1, rest)))
-            out[k][j], n = take, n - take
-        left -= np.array([out[k][j] for k in names])
-    return out
-
-
-def shard_plan(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """`(mix_id, shard, source, slots)`: how many block slots of each source each output shard takes."""
-    spark = drawn.sparkSession
-    per = drawn.groupBy("mix_id", "source", "block").agg(F.max("repeats").alias("n")).groupBy("mix_id", "source").agg(F.sum("n").alias("slots"))
-    totals: dict[str, dict[str, int]] = {}
-    for mix, source, n in per.collect():  # one row for each row of the weights
-        totals.setdefault(mix, {})[source] = n
-    rows = [(m, j, s, int(c[j])) for m, t in sorted(totals.items()) for s, c in shard_counts(t, shards, seed).items() for j in range(shards)]
-    return spark.createDataFrame(rows, "mix_id string, shard int, source string, slots long")
+def shard_plan(laid: DataFrame) -> DataFrame:
+    """`(mix_id, shard, source, slots)`: how many slots of each source each output shard takes."""
+    return laid.groupBy("mix_id", "shard", "source").agg(F.countDistinct("slot").alias("slots"))

@@ -51,7 +51,11 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_shards(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shard_plan(mixing.draw(_read(spark, d, "records"), _read(spark, d, "mix_weights"))[0])
+    return mixing.shard_plan(mixing.slots(_read(spark, d, "records"), _read(spark, d, "mix_weights"))[0])
+
+
+def p2_slots(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.slots(_read(spark, d, "records"), _read(spark, d, "mix_weights"))[0]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +95,7 @@ QUERIES = {
     "p2_draws": p2_draws,
     "p2_shares": p2_shares,
     "p2_shards": p2_shards,
+    "p2_slots": p2_slots,
     "p3_found": p3_found,
     "p4_token_totals": p4_token_totals,
     "p4_byte_totals": p4_byte_totals,

@@ -134,7 +134,15 @@ def test_mix_meets_weights_and_caps(spark):
     assert max(reps) - min(reps) <= 1
     again = {(r.mix_id, r.record_id, r.repeats) for r in mixing.draw(records.repartition(7), weights, block=500)[0].collect()}
     assert again == {(r.mix_id, r.record_id, r.repeats) for r in got}
-    plan = mixing.shard_plan(drawn, 4).groupBy("mix_id", "shard").sum("slots").collect()
+    laid, placed, _ = mixing.slots(records, weights, block=500, shards=4)
+    laid = laid.persist()
+    assert laid.where("record_id is null").groupBy("mix_id", "slot", "source").count().where("count > 1").isEmpty()
+    places = laid.select("mix_id", "source", "slot", "place", "shard").distinct().orderBy("mix_id", "place").collect()
+    for m in {r.mix_id for r in places}:
+        own = [r for r in places if r.mix_id == m]
+        assert [r.place for r in own] == list(range(len(own))) and [r.shard for r in own] == [4 * k // len(own) for k in range(len(own))]
+    assert {tuple(r) for r in mixing.drawn_records(laid, placed).collect()} == {(r.mix_id, r.source, r.record_id, r.block, r.repeats, r.tokens) for r in drawn.collect()}
+    plan = mixing.shard_plan(laid).groupBy("mix_id", "shard").sum("slots").collect()
     for m in "mn":
         n = [r["sum(slots)"] for r in plan if r.mix_id == m]
         assert max(n) - min(n) <= 1
