@@ -6,6 +6,7 @@ of trained BPE are the bytes plus 14, then one for each merge.
 
 from __future__ import annotations
 
+import heapq
 import json
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -106,49 +107,60 @@ class BpeModel:
             out.append(out[a] + out[b])
         return out
 
-    def encoder(self):
+    def encoder(self) -> BpeEncoder:
         """A function from text to ids that remembers what it has encoded. The lowest-ranked pair merges first."""
-        rank = {m: k for k, m in enumerate(self.merges)}
-
-        @lru_cache(maxsize=1 << 16)
-        def word(raw: bytes) -> tuple[int, ...]:
-            ids = [b + BPE_OFFSET for b in raw]
-            while len(ids) > 1:
-                best = min(range(len(ids) - 1), key=lambda i: rank.get((ids[i], ids[i + 1]), len(rank)))
-                pair = (ids[best], ids[best + 1])
-                if pair not in rank:
-                    break
-                new, out, i = BPE_OFFSET + 256 + rank[pair], [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                        out.append(new)
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
-            return tuple(ids)
-
-        # bytes on either side of a place that no merge spans never meet: the text is split there
-        inside = {(a[-1], b[0]) for p in [self.pieces()] for a, b in ((p[x], p[y]) for x, y in self.merges)}
-
-        def encode(text: str) -> list[int]:
-            raw = text.encode("utf-8", "replace")
-            out: list[int] = []
-            start = 0
-            for i in range(1, len(raw) + 1):
-                if i == len(raw) or (raw[i - 1], raw[i]) not in inside:
-                    out += word(raw[start:i])
-                    start = i
-            return out
-
-        return encode
+        return BpeEncoder(self)
 
     def decode(self, ids: list[int]) -> str:
         pieces = self.pieces()
         return b"".join(pieces[i] for i in ids if 0 <= i < len(pieces)).decode("utf-8", "replace")
 
 
+class BpeEncoder:
+    """Encodes texts under a model; travels as the model alone, what it has learnt stays in its process."""
+
+    def __init__(self, model: BpeModel):
+        self.model = model
+        self.rank = {m: k for k, m in enumerate(model.merges)}
+        # bytes on either side of a place that no merge spans never meet: the text is split there
+        p = model.pieces()
+        self.inside = np.zeros((256, 256), bool)
+        for x, y in model.merges:
+            self.inside[p[x][-1], p[y][0]] = True
+        self.word = lru_cache(maxsize=1 << 16)(self._word)
+
+    def __reduce__(self):
+        return BpeEncoder, (self.model,)
+
+    def _word(self, raw: bytes) -> tuple[int, ...]:
+        """Merges by rank, then from the left, with a heap over a linked list of symbols."""
+        n = len(raw)
+        ids, after, before = [b + BPE_OFFSET for b in raw], list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            if j >= n or self.rank.get((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j], after[i] = BPE_OFFSET + 256 + r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (k := self.rank.get((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (k, i))
+            if before[i] >= 0 and (k := self.rank.get((ids[before[i]], ids[i]))) is not None:
+                heapq.heappush(heap, (k, before[i]))
+        return tuple(x for x in ids if x >= 0)
+
+    def __call__(self, text: str) -> list[int]:
+        raw = text.encode("utf-8", "replace")
+        if not raw:
+            return []
+        b = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
+        return [x for lo, hi in zip(cuts, cuts[1:]) for x in self.word(raw[lo:hi])]
+
+
 def bpe_encode(c: Column, model: BpeModel) -> Column:
     """Ids of a text column under a trained vocabulary, which travels with the task."""
 

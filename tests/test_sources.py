@@ -249,3 +249,22 @@ def test_registry():
         r.add("uno", int)
     with pytest.raises(KeyError):
         r.get("two")
+
+
+def test_cli_spellings_and_the_whole_chain(spark, tmp_path, capsys):
+    from corpusloom import cli
+
+    src = write(tmp_path / "a.jsonl", "".join(json.dumps({"text": f"document number {i} is about rivers and boats"}) + "\n" for i in range(30)))
+    log = write(tmp_path / "log.jsonl", '{"run_id": 1, "step": 1, "event": "eval", "val_loss": 2.0}\n{"run_id": 1, "step": 2, "event": "eval", "val_loss": 1.0}\n')
+    assert cli.main(["auto-train", "--input", str(src), "--name", "x", "--vocab-size", "290", "--seq-len", "32", "--packed-dir", str(tmp_path / "packed"), "--no-train", "--no-progress"]) == 0
+    config = json.loads((tmp_path / "packed" / "config.json").read_text())
+    assert config["packed"]["train_tokens"] > 0 and (tmp_path / "packed" / "train.bin").stat().st_size > 0
+    capsys.readouterr()
+    assert cli.main(["evaluate", str(log)]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["mean_loss"] == 1.5
+    assert cli.main(["benchmark-tokenizer", "--input", str(src), "--limit", "10", "--add-bos"]) == 0
+    assert json.loads(capsys.readouterr().out)["records"] == 10
+    assert cli.main(["params"]) == 0 and cli.main(["tokenizer-status"]) == 0
+    capsys.readouterr()
+    assert cli.main(["clean-dataset", "--input", str(src), "--text-column", "text", "--language", "en", "--max-records", "5", "--out", str(tmp_path / "clean")]) == 0
+    assert spark.read.text(str(tmp_path / "clean")).count() == 5
