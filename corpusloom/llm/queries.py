@@ -82,6 +82,13 @@ def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
     return binpack.pack_texts(_read(spark, d, "documents", "doc_id", "text"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: sequences, tokens in them, and the share of their room that is filled."""
+    one = p8_sequences(spark, d).where("sequence is not null").groupBy("sequence").agg(F.max("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+    sums = one.groupBy("capacity").agg(F.count("*").alias("sequences"), F.sum("tokens").alias("tokens"))
+    return sums.withColumn("filled", F.col("tokens") / (F.col("sequences") * F.col("capacity")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(_read(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id")
 
@@ -105,6 +112,7 @@ QUERIES = {
     "p6_report": p6_report,
     "p7_ids": p7_ids,
     "p8_sequences": p8_sequences,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
