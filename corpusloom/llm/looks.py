@@ -6,7 +6,7 @@ is the blocking key; an exact check on the visual form follows, because letter c
 digits are differences to a reader.
 
 Defined cases: null text has null forms and no pairs; texts under `least_chars` characters have no
-pairs; rows repeated under one id count once; texts equal but for outer blanks and CRLF are stored
+pairs; rows repeated under one id count once, rows without an id not at all; texts equal but for outer blanks and CRLF are stored
 alike; an empty table gives an empty result.
 """
 
@@ -83,7 +83,7 @@ def same_look_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "t
 
     Only pairs of different stored variants of one look are joined, so many equal copies cost no pairs.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("byte").alias("side"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("byte").alias("side")).where("id is not null")
     have = look_hashes(rows).where(F.col("length") >= least_chars)
     by = ["key", "look", "look2"]
     have = materialize(have.select(*by, "stored", "id").distinct(), "looks")  # five numbers a record, so that texts are read once
