@@ -6,7 +6,7 @@ verified (`setjoin`, sides 1 and 2). Texts of equal look (`looks`) are added by
 The report counts from classes of equal texts, so that no pair is made for it.
 
 Defined cases: null, empty and short texts have no pairs of the first kind; texts under 16 characters
-none of the second; rows of a null or other split take no part; repeated rows count once.
+none of the second; rows of a null or other split or without an id take no part; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -58,13 +58,13 @@ def overlap_classes(
     A class is a set of word sequences for texts of enough words, else a look: texts that look the same have the same words, so no pair is lost or found twice.
     """
     side = F.when(F.col(split_col).isin(*train), 1).when(F.col(split_col).isin(*evaluation), 2).cast("byte")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), side.alias("side")).where("side is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), side.alias("side")).where("side is not null and id is not null")
     members, pairs = setjoin.similar_classes(rows, Fraction(str(threshold)), shingle, least_words)
     named = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
     sets = materialize(members.select(named("fp").alias("class"), "id", "side"), "members")
     look = F.concat_ws(":", F.lit("l"), "key", "look", "look2")
-    # every match is a word, so texts with enough of them have a set; of the rest, those without one are left
-    few = rows.where(F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9А-Яа-я]+[ \n]+")), F.lit(0)) < max(shingle, least_words))
+    absent = materialize(rows.select("id", "side").join(sets, ["id", "side"], "left_anti").select("id").distinct(), "absent")
+    few = setjoin.only(rows, absent)
     short = looks.look_hashes(few).where(F.col("length") >= least_chars).select(look.alias("class"), "id", "side").distinct().join(sets, ["id", "side"], "left_anti")
     every = materialize(sets.unionByName(short), "classes")
     t, e = every.where("side = 1").select("class", "id"), every.where("side = 2").select("class", "id")

@@ -446,6 +446,20 @@ def bit_filter(df: DataFrame, values, count: int, most: int | None = None) -> Bi
     return BitFilter(bits, out)
 
 
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `df(id, text, side)` whose id `ids(id)` has, and perhaps some others: by a broadcast filter, or by a join where that would be too large."""
+    wanted = bit_filter(ids, lambda batch: batch.column(0).to_numpy(zero_copy_only=False), ids.count())
+    if wanted is None:
+        return df.join(ids.distinct(), "id", "left_semi")
+    sent = df.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(it):
+        for batch in it:
+            yield batch.filter(pa.array(sent.value.has(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+
+    return df.select("id", "text", "side").mapInArrow(run, "id long, text string, side byte")
+
+
 def sets_of(df: DataFrame, shingle: int, least_words: int, wanted=None) -> DataFrame:
     """`(fp, elements)` of the texts of `df(id, text)`, with `wanted` of those whose id the broadcast filter has; once per task and fp."""
 

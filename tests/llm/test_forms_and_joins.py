@@ -165,3 +165,12 @@ def test_same_look_pairs(spark):
     assert got == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4), (2, 9), (4, 9)}
     shown = [r.t for r in df.select(looks.normalized(F.col("text")).alias("t")).collect()]
     assert shown == [forms.visual_form(t) for _, t in rows]
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text, "train"), (2, text.replace(" ", "\xa0"), "val"), (None, text, "train"), (None, text, "val")], "record_id long, text string, split_name string")
+    pair = [(1, 2)]
+    assert [tuple(r)[:2] for r in near_dup.near_duplicate_pairs(df, "record_id", "text", 0.6, 3, 3).collect()] == pair
+    assert [tuple(r) for r in looks.same_look_pairs(df).collect()] == pair
+    assert [tuple(r) for r in overlap.split_overlaps(df, threshold=0.6, shingle=3, least_words=3).collect()] == pair
