@@ -1,8 +1,8 @@
 """Word and pair statistics, and training of byte-level BPE vocabularies.
 
 Counting the corpus is a Spark aggregation; the merge loop runs on the distinct words with an index from pairs to words, so a
-round touches only words that hold the merged pair. Where the distinct words are more than `driver_words`, which bounds the driver's memory, the same merges are
-found by rounds of Spark jobs. Ties go to the lowest pair. Null and empty texts count nothing.
+round touches only words that hold the merged pair. Where the distinct words are more than `driver_words`, or their ids more than `driver_ids`, which bounds the driver's memory,
+Spark jobs first cut them where no merge can come, until what is left is small enough; the merges are the same. Ties go to the lowest pair. Null and empty texts count nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from .tokens import BPE_OFFSET, BpeModel, byte_encode
 
 #: Distinct words up to which the merge loop runs on the driver.
 DRIVER_WORDS = 2_000_000
+#: Ids of distinct words, or of pieces of them, up to which it does; each takes some hundred bytes there.
+DRIVER_IDS = 1_000_000
+#: Pairs whose counts the driver holds at once.
+DRIVER_PAIRS = 100_000
 
 
 def word_frequencies(df: DataFrame, text_col: str = "text", split: bool = True) -> DataFrame:
@@ -56,8 +61,8 @@ def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
     return out
 
 
-def learn(words: list[tuple[list[int], int]], merges: int, min_frequency: int = 2) -> list[tuple[int, int]]:
-    """The merges of weighted words, each round the most frequent pair; stops below `min_frequency`."""
+def learn(words: list[tuple[list[int], int]], merges: int, min_frequency: int = 2, before: int = 0) -> list[tuple[int, int]]:
+    """The merges of weighted words, each round the most frequent pair; stops below `min_frequency`. `before` merges are done already."""
     count: dict[tuple[int, int], int] = defaultdict(int)
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
     for k, (ids, n) in enumerate(words):
@@ -73,7 +78,7 @@ def learn(words: list[tuple[list[int], int]], merges: int, min_frequency: int =
             continue
         if -n < min_frequency or n == 0:
             break
-        new = BPE_OFFSET + 256 + len(out)
+        new = BPE_OFFSET + 256 + before + len(out)
         out.append(best)
         changed = set()
         for k in where.pop(best):
@@ -97,23 +102,34 @@ def learn(words: list[tuple[list[int], int]], merges: int, min_frequency: int =
     return out
 
 
-def train_bpe(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text", split: bool = True, driver_words: int = DRIVER_WORDS) -> BpeModel:
+def train_bpe(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text", split: bool = True, driver_words: int = DRIVER_WORDS, driver_ids: int = DRIVER_IDS) -> BpeModel:
     """A vocabulary of at most `vocab_size` ids learnt from all texts of `df`."""
     merges = vocab_size - BPE_OFFSET - 256
     words = word_frequencies(df, text_col, split)
     words = words.select((F.transform(byte_encode(F.col("word")), lambda x: x + (BPE_OFFSET - 4))).alias("ids"), "n")
     words = materialize(words, "words")
-    if words.count() <= driver_words:
-        rows = [(list(r.ids), r.n) for r in words.orderBy("ids").toLocalIterator()]
-        return BpeModel(tuple(learn(rows, merges, min_frequency)))
-    return BpeModel(tuple(learn_distributed(words, merges, min_frequency)))
+    count, ids = _size(words)
+    if count <= driver_words and ids <= driver_ids:
+        return BpeModel(tuple(learn(_collected(words), merges, min_frequency)))
+    return BpeModel(tuple(learn_distributed(words, merges, min_frequency, driver_ids=driver_ids)))
+
+
+def _size(words: DataFrame) -> tuple[int, int]:
+    """The number of words and of their ids."""
+    row = words.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    return row[0], row[1] or 0
+
+
+def _collected(words: DataFrame) -> list[tuple[list[int], int]]:
+    table = words.select("ids", "n").toArrow()
+    return list(zip(table.column("ids").to_pylist(), table.column("n").to_pylist()))
 
 
 def next_merges(top: list[tuple[int, int, int]], most: int, min_frequency: int = 2) -> list[tuple[int, int]]:
     """The merges that surely come next, of pairs `(l, r, n)` in order (frequent first, then lowest).
 
     A merge changes only counts of pairs that hold one of its two ids, and a pair with the new id is no more frequent than one of these. So the pairs
-    in order are merged one by one until one holds an id of an earlier merge of the round.
+    in order are merged one by one until one holds an id of an earlier merge of the round. A merge of an id with itself ends the round, as there the only bound on the new pairs is the merged pair.
     """
     out: list[tuple[int, int]] = []
     touched: set[int] = set()
@@ -122,41 +138,119 @@ def next_merges(top: list[tuple[int, int, int]], most: int, min_frequency: int =
             break
         out.append((left, right))
         touched |= {left, right}
+        if left == right:
+            break
     return out
 
 
-def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut_every: int = 10, ahead: int = 256) -> list[tuple[int, int]]:
+def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut_every: int = 10, ahead: int = 256, driver_ids: int = 0) -> list[tuple[int, int]]:
     """As `learn`, with the words distributed: a round counts pairs, takes all merges that surely come next (`next_merges` of the
-    first `ahead` pairs) and applies them in one pass. The lineage is cut every `cut_every` rounds."""
+    first `ahead` pairs) and applies them in one pass.
+
+    Counts of pairs only fall, and a pair with a new id is no more frequent than the pair of old ids at the same place. So down to merges of a count `floor`,
+    words can be cut between the ids of a pair below it. The first floor is a guess from the counts; where the merges reach it, all words are taken up again with the merges so far, and a
+    lower one. Every `cut_every` rounds, first of all in the first, equal pieces are counted together and the lineage is cut; once the pieces have at most `driver_ids` ids, the driver goes on with them.
+    """
     out: list[tuple[int, int]] = []
-    rounds = 0
+    whole, done, floor, rounds = words, 0, 0, 0
     while len(out) < merges:
-        top = [tuple(r) for r in pair_counts(words).orderBy(F.desc("n"), "l", "r").limit(ahead).collect()]
-        now = next_merges(top, merges - len(out), min_frequency)
-        if not now:
+        top = [tuple(r) for r in _counted(words).where(F.col("n") >= max(floor, min_frequency)).orderBy(F.desc("n"), "l", "r").limit(DRIVER_PAIRS).collect()]
+        if not floor:
+            left = merges - len(out)
+            floor = max(min_frequency, top[left][2] // 2 if len(top) > left else 0)
+        now = next_merges(top[:ahead], merges - len(out), max(floor, min_frequency))
+        if now:
+            steps = _steps(now, len(out))
+            out += now
+            known = len(top) < DRIVER_PAIRS or top[-1][2] < floor
+            words = _rewritten(words, steps, [(left, right) for left, right, n in top if n >= floor] if known else None)
+            rounds += 1
+            if rounds % cut_every != 1 % cut_every:
+                continue
+            words = materialize(words.groupBy("ids").agg(F.sum("n").alias("n")), "words")
+            if _size(words)[1] > driver_ids:
+                continue
+            out += learn(_collected(words), merges - len(out), floor, len(out))
+        if floor <= min_frequency:
             break
-        steps = [(*pair, BPE_OFFSET + 256 + len(out) + k) for k, pair in enumerate(now)]
-        out += now
-        held = F.lit(False)
-        for left, _, _ in steps:
-            held = held | F.array_contains("ids", left)
-        words = words.withColumn("ids", F.when(held, _merged(F.col("ids"), steps)).otherwise(F.col("ids")))
-        rounds += 1
-        if rounds % cut_every == 0:
-            words = materialize(words, "words")
+        if len(out) < merges:
+            floor = max(min_frequency, floor // 4)
+            whole = words = materialize(_rewritten(whole, _steps(out[done:], done)), "words")
+            done, rounds = len(out), 0
     return out
 
 
-def _merged(c: Column, steps: list[tuple[int, int, int]]) -> Column:
-    @F.arrow_udf("array<int>")
-    def run(values: pa.Array) -> pa.Array:
-        out = []
-        for ids in values.to_pylist():
-            have = set(ids)
+def _steps(merges: list[tuple[int, int]], before: int) -> list[tuple[int, int, int]]:
+    return [(*pair, BPE_OFFSET + 256 + before + k) for k, pair in enumerate(merges)]
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all words of a batch, whether the next id is of the same word, and the word's frequency at each id."""
+    words = batch.column("ids")
+    n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(n)[n > 0] - 1] = False
+    return ids, inner, np.repeat(batch.column("n").to_numpy(zero_copy_only=False), n)
+
+
+def _pair_codes(ids: np.ndarray) -> np.ndarray:
+    """A number for each id and the next one."""
+    return ids[:-1] << 32 | ids[1:]
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """As `pair_counts`, summed within each task first."""
+
+    def run(it):
+        counts: dict[int, int] = defaultdict(int)
+
+        def rows():
+            codes, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["l", "r", "n"])
+
+        for batch in it:
+            ids, inner, n = _flat(batch)
+            inner, n = inner[:-1], n[:-1]
+            codes, at = np.unique(_pair_codes(ids)[inner], return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at, n[inner])
+            for c, k in zip(codes.tolist(), sums.tolist()):
+                counts[c] += k
+            if len(counts) > 500_000:
+                yield rows()
+        yield rows()
+
+    return words.select("ids", "n").mapInArrow(run, "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+
+
+def _rewritten(words: DataFrame, steps: list[tuple[int, int, int]], kept: list[tuple[int, int]] | None = None) -> DataFrame:
+    """`(ids, n)` of the words with the merges `(left, right, new)` applied one after the other, cut first between the ids of all pairs but those in `kept`, if given.
+    Words and pieces of a single id have no pairs and are left out."""
+    codes = None if kept is None else np.array(sorted(left << 32 | right for left, right in kept), np.int64)
+
+    def run(it):
+        for batch in it:
+            ids, inner, n = _flat(batch)
+            if codes is not None and len(ids):
+                inner[:-1] &= np.isin(_pair_codes(ids), codes)
             for left, right, new in steps:
-                if left in have and right in have:
-                    ids = merge(ids, left, right, new)
-            out.append(ids)
-        return pa.array(out, pa.list_(pa.int32()))
+                at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right) & inner[:-1])
+                if left == right and len(at):  # of a run of hits every other one, from the left
+                    first = np.concatenate([[True], np.diff(at) > 1])
+                    at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+                if len(at):
+                    ids[at], inner[at] = new, inner[at + 1]
+                    stays = np.ones(len(ids), bool)
+                    stays[at + 1] = False
+                    ids, inner, n = ids[stays], inner[stays], n[stays]
+            stays = inner.copy()
+            stays[1:] |= inner[:-1]
+            ids, inner, n = ids[stays], inner[stays], n[stays]
+            ends = np.flatnonzero(~inner) + 1
+            starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(n[starts])], ["ids", "n"])
 
-    return run(c)
+    return words.select("ids", "n").mapInArrow(run, "ids array<int>, n long")

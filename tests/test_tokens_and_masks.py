@@ -47,6 +47,31 @@ def test_incremental_training_equals_recounting(spark):
     assert bpe.learn_distributed(df, 8, 2, cut_every=3) == want[:8]
 
 
+def test_training_on_pieces_equals_recounting(spark):
+    rng = random.Random(4)
+    skewed = [(["aabb"[rng.randrange(4)] + "c" * rng.randrange(3) for _ in range(rng.randrange(1, 6))], rng.choice((1, 2, 900))) for _ in range(60)]
+    fading = [(["ab"] * 6, 1000), (["abc"], 40), (["cd"], 9), (["de"], 9), (["ef"] * 3, 8), (["aaa", "aa"], 300), (["a"], 70), (["fg", "gh"], 3)]  # the later merges are far rarer than the pairs of bytes at first
+    for words, merges, ids in ((skewed, 12, 0), (skewed, 25, 60), (fading, 4, 0), (fading, 14, 12), (fading, 40, 60)):
+        rows = [([b + tokens.BPE_OFFSET for b in "".join(w).encode()], n) for w, n in words]
+        df = spark.createDataFrame(rows, "ids array<int>, n long").repartition(3)
+        assert bpe.learn_distributed(df, merges, 2, cut_every=2, driver_ids=ids) == slow_bpe(rows, merges, 2)
+
+
+def test_a_merge_of_an_id_with_itself_ends_a_round():
+    assert bpe.next_merges([(1, 1, 50), (2, 3, 20), (4, 5, 9)], 9) == [(1, 1)]  # the new id's own pair may have 24
+
+
+def test_the_driver_never_holds_more_than_a_million_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = "etaoinshrdlu"
+    words = ["".join(rng.choices(letters, [0.6**k for k in range(12)], k=30)) for _ in range(36_000)]
+    seen, learn = [], bpe.learn
+    monkeypatch.setattr(bpe, "learn", lambda words, *a: seen.append(sum(len(i) for i, _ in words)) or learn(words, *a))
+    model = bpe.train_bpe(spark.createDataFrame([(w,) for w in words], "text string"), tokens.BPE_OFFSET + 256 + 8)
+    assert len(model.merges) == 8 and max(seen, default=0) <= 1_000_000
+    assert list(model.merges) == slow_bpe([([b + tokens.BPE_OFFSET for b in w.encode()], 1) for w in words], 8, 2)
+
+
 def test_bpe_round_trip_and_ties(spark):
     df = spark.createDataFrame([("alpha alpha beta <|assistant|>",), (None,), ("",)], "text string")
     model = bpe.train_bpe(df, vocab_size=290)
