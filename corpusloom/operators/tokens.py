@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,11 +129,14 @@ class BpeEncoder:
         for x, y in model.merges:
             self.inside[p[x][-1], p[y][0]] = True
         self.word = lru_cache(maxsize=1 << 16)(self._word)
+        # where no merge holds a blank, texts are split at blanks first, and what stands between them is remembered as a whole
+        self.blank = None if any(BPE_OFFSET + 32 in m for m in model.merges) else np.int32(BPE_OFFSET + 32).tobytes()
+        self.unit = lru_cache(maxsize=1 << 17)(self._unit)
 
     def __reduce__(self):
         return BpeEncoder, (self.model,)
 
-    def _word(self, raw: bytes) -> tuple[int, ...]:
+    def _word(self, raw: bytes) -> bytes:
         """Merges by rank, then from the left, with a heap over a linked list of symbols."""
         n = len(raw)
         ids, after, before = [b + BPE_OFFSET for b in raw], list(range(1, n + 1)), list(range(-1, n - 1))
@@ -150,15 +154,28 @@ class BpeEncoder:
                     heapq.heappush(heap, (k, i))
             if before[i] >= 0 and (k := self.rank.get((ids[before[i]], ids[i]))) is not None:
                 heapq.heappush(heap, (k, before[i]))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
-    def __call__(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "replace")
+    def _unit(self, raw: bytes) -> bytes:
         if not raw:
-            return []
+            return b""
         b = np.frombuffer(raw, np.uint8)
         cuts = [0, *(np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
-        return [x for lo, hi in zip(cuts, cuts[1:]) for x in self.word(raw[lo:hi])]
+        return b"".join([self.word(raw[lo:hi]) for lo, hi in zip(cuts, cuts[1:])])
+
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit numbers, one after the other."""
+        raw = text.encode("utf-8", "replace")
+        return self._unit(raw) if self.blank is None else self.blank.join(map(self.unit, raw.split(b" ")))
+
+    def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+
+@lru_cache(maxsize=2)
+def _encoder(model: BpeModel) -> BpeEncoder:
+    """One for all batches of a worker."""
+    return BpeEncoder(model)
 
 
 def bpe_encode(c: Column, model: BpeModel) -> Column:
@@ -166,8 +183,10 @@ def bpe_encode(c: Column, model: BpeModel) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(values: pa.Array) -> pa.Array:
-        encode = model.encoder()
-        return pa.array([None if v is None else encode(v) for v in values.to_pylist()], pa.list_(pa.int32()))
+        encode = _encoder(model).packed
+        rows = [b"" if v is None else encode(v) for v in values.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)), mask=values.is_null() if values.null_count else None)
 
     return run(c)
 
@@ -175,7 +194,13 @@ def bpe_encode(c: Column, model: BpeModel) -> Column:
 def bpe_decode(c: Column, model: BpeModel) -> Column:
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else model.decode(v) for v in values.to_pylist()], pa.string())
+        ids, pieces = values.flatten(), pa.array(model.pieces(), pa.large_binary())
+        known = pa.array(np.arange(len(pieces), dtype=np.int32))
+        got = pieces.take(pc.index_in(ids.cast(pa.int32()), known))  # no bytes for other ids
+        at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, 8 * got.offset) if len(got) else np.zeros(1, np.int64)
+        raw = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] is not None else b""
+        ends = at[np.cumsum([0, *values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])].tolist()
+        return pa.array([raw[lo:hi].decode("utf-8", "replace") if there else None for lo, hi, there in zip(ends, ends[1:], values.is_valid().to_pylist())], pa.string())
 
     return run(c)
 

@@ -83,6 +83,26 @@ def test_bpe_round_trip_and_ties(spark):
     assert bpe.merge([1, 1, 1], 1, 1, 9) == [9, 1]
 
 
+def test_columns_of_ids_equal_single_texts(spark, monkeypatch):
+    texts = ["ab  cab é\nabab ", None, "", " ", "zz ab\x00", "é" * 50, *(f"abcab {k} cab" for k in range(40))]
+    learnt = [([b + tokens.BPE_OFFSET for b in w], n) for w, n in ((b"abcab", 5), (b"cab a", 3), (b"aaab", 2), ("é".encode(), 2))]
+    for merges in (2, 12):  # without a blank in the merges, and with one
+        model = tokens.BpeModel(tuple(bpe.learn([(list(i), n) for i, n in learnt], merges, 2)))
+        assert any(tokens.BPE_OFFSET + 32 in m for m in model.merges) == (merges == 12)
+        df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select("t", tokens.bpe_encode(F.col("t"), model).alias("ids"))
+        rows = df.select("t", "ids", tokens.bpe_decode(F.col("ids"), model).alias("back")).collect()
+        assert [r.ids for r in rows] == [None if t is None else model.encoder()(t) for t in texts]
+        assert [r.back for r in rows] == texts
+        odd = [[], None, [-1, 3, 14 + 97, 9999, 14 + 0xE9], [14 + 98]]
+        got = spark.createDataFrame([(i,) for i in odd], "ids array<int>").coalesce(1).select(tokens.bpe_decode(F.col("ids"), model).alias("t")).collect()
+        assert [r.t for r in got] == ["", None, "a\ufffd", "b"]
+    made, init = [], tokens.BpeEncoder.__init__
+    monkeypatch.setattr(tokens.BpeEncoder, "__init__", lambda self, m: made.append(m) or init(self, m))
+    run = tokens._encoder
+    run.cache_clear()
+    assert run(model) is run(tokens.BpeModel.from_json(model.to_json())) and len(made) == 1  # texts of later batches find what was learnt
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc <|>\né", max_size=40))
 def test_merging_in_order_equals_lowest_rank_first(text):
