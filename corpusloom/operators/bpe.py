@@ -149,12 +149,13 @@ def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut
 
     Counts of pairs only fall, and a pair with a new id is no more frequent than the pair of old ids at the same place. So down to merges of a count `floor`,
     words can be cut between the ids of a pair below it. The first floor is a guess from the counts; where the merges reach it, all words are taken up again with the merges so far, and a
-    lower one. Every `cut_every` rounds, first of all in the first, equal pieces are counted together and the lineage is cut; once the pieces have at most `driver_ids` ids, the driver goes on with them.
+    lower one. Every `cut_every` rounds, first of all in the first, equal pieces are counted together and stored; rounds in between are applied to them in one task each, as a chain of Python stages would take a worker for each. Once the pieces have at most `driver_ids` ids, the driver goes on with them.
     """
     out: list[tuple[int, int]] = []
     whole, done, floor, rounds = words, 0, 0, 0
+    open_: list[Round] = []
     while len(out) < merges:
-        top = [tuple(r) for r in _counted(words).where(F.col("n") >= max(floor, min_frequency)).orderBy(F.desc("n"), "l", "r").limit(DRIVER_PAIRS).collect()]
+        top = [tuple(r) for r in _counted(words, open_).where(F.col("n") >= max(floor, min_frequency)).orderBy(F.desc("n"), "l", "r").limit(DRIVER_PAIRS).collect()]
         if not floor:
             left = merges - len(out)
             floor = max(min_frequency, top[left][2] // 2 if len(top) > left else 0)
@@ -163,11 +164,11 @@ def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut
             steps = _steps(now, len(out))
             out += now
             known = len(top) < DRIVER_PAIRS or top[-1][2] < floor
-            words = _rewritten(words, steps, [(left, right) for left, right, n in top if n >= floor] if known else None)
+            open_.append((steps, np.array(sorted(left << 32 | right for left, right, n in top if n >= floor), np.int64) if known else None))
             rounds += 1
             if rounds % cut_every != 1 % cut_every:
                 continue
-            words = materialize(words.groupBy("ids").agg(F.sum("n").alias("n")), "words")
+            words, open_ = materialize(_rewritten(words, open_).groupBy("ids").agg(F.sum("n").alias("n")), "words"), []
             if _size(words)[1] > driver_ids:
                 continue
             out += learn(_collected(words), merges - len(out), floor, len(out))
@@ -175,8 +176,8 @@ def learn_distributed(words: DataFrame, merges: int, min_frequency: int = 2, cut
             break
         if len(out) < merges:
             floor = max(min_frequency, floor // 4)
-            whole = words = materialize(_rewritten(whole, _steps(out[done:], done)), "words")
-            done, rounds = len(out), 0
+            whole = words = materialize(_rewritten(whole, [(_steps(out[done:], done), None)]), "words")
+            done, rounds, open_ = len(out), 0, []
     return out
 
 
@@ -199,8 +200,34 @@ def _pair_codes(ids: np.ndarray) -> np.ndarray:
     return ids[:-1] << 32 | ids[1:]
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    """As `pair_counts`, summed within each task first."""
+#: The merges `(left, right, new)` of a round, and the codes of the pairs of ids that aren't cut apart before them; None: no cuts.
+Round = tuple[list[tuple[int, int, int]], np.ndarray | None]
+
+
+def _applied(batch: pa.RecordBatch, rounds: list[Round]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_flat`, after the rounds."""
+    ids, inner, n = _flat(batch)
+    for steps, kept in rounds:
+        if kept is not None and len(ids):
+            inner[:-1] &= np.isin(_pair_codes(ids), kept)
+        for left, right, new in steps:
+            at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right) & inner[:-1])
+            if left == right and len(at):  # of a run of hits every other one, from the left
+                first = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+            if len(at):
+                ids[at], inner[at] = new, inner[at + 1]
+                stays = np.ones(len(ids), bool)
+                stays[at + 1] = False
+                ids, inner, n = ids[stays], inner[stays], n[stays]
+        stays = inner.copy()
+        stays[1:] |= inner[:-1]
+        ids, inner, n = ids[stays], inner[stays], n[stays]
+    return ids, inner, n
+
+
+def _counted(words: DataFrame, rounds: list[Round]) -> DataFrame:
+    """As `pair_counts`, of the words after the rounds, summed within each task first."""
 
     def run(it):
         counts: dict[int, int] = defaultdict(int)
@@ -211,7 +238,7 @@ def _counted(words: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["l", "r", "n"])
 
         for batch in it:
-            ids, inner, n = _flat(batch)
+            ids, inner, n = _applied(batch, rounds)
             inner, n = inner[:-1], n[:-1]
             codes, at = np.unique(_pair_codes(ids)[inner], return_inverse=True)
             sums = np.zeros(len(codes), np.int64)
@@ -225,29 +252,12 @@ def _counted(words: DataFrame) -> DataFrame:
     return words.select("ids", "n").mapInArrow(run, "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
-def _rewritten(words: DataFrame, steps: list[tuple[int, int, int]], kept: list[tuple[int, int]] | None = None) -> DataFrame:
-    """`(ids, n)` of the words with the merges `(left, right, new)` applied one after the other, cut first between the ids of all pairs but those in `kept`, if given.
-    Words and pieces of a single id have no pairs and are left out."""
-    codes = None if kept is None else np.array(sorted(left << 32 | right for left, right in kept), np.int64)
+def _rewritten(words: DataFrame, rounds: list[Round]) -> DataFrame:
+    """`(ids, n)` of the words or their pieces after the rounds. Those of a single id have no pairs and are left out."""
 
     def run(it):
         for batch in it:
-            ids, inner, n = _flat(batch)
-            if codes is not None and len(ids):
-                inner[:-1] &= np.isin(_pair_codes(ids), codes)
-            for left, right, new in steps:
-                at = np.flatnonzero((ids[:-1] == left) & (ids[1:] == right) & inner[:-1])
-                if left == right and len(at):  # of a run of hits every other one, from the left
-                    first = np.concatenate([[True], np.diff(at) > 1])
-                    at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
-                if len(at):
-                    ids[at], inner[at] = new, inner[at + 1]
-                    stays = np.ones(len(ids), bool)
-                    stays[at + 1] = False
-                    ids, inner, n = ids[stays], inner[stays], n[stays]
-            stays = inner.copy()
-            stays[1:] |= inner[:-1]
-            ids, inner, n = ids[stays], inner[stays], n[stays]
+            ids, inner, n = _applied(batch, rounds)
             ends = np.flatnonzero(~inner) + 1
             starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids.astype(np.int32)))
