@@ -131,7 +131,7 @@ class BpeEncoder:
         self.word = lru_cache(maxsize=1 << 16)(self._word)
         # where no merge holds a blank, texts are split at blanks first, and what stands between them is remembered as a whole
         self.blank = None if any(BPE_OFFSET + 32 in m for m in model.merges) else np.int32(BPE_OFFSET + 32).tobytes()
-        self.unit = lru_cache(maxsize=1 << 17)(self._unit)
+        self.unit = lru_cache(maxsize=1 << 16)(self._unit)
 
     def __reduce__(self):
         return BpeEncoder, (self.model,)
@@ -186,7 +186,7 @@ def bpe_encode(c: Column, model: BpeModel) -> Column:
         encode = _encoder(model).packed
         rows = [b"" if v is None else encode(v) for v in values.to_pylist()]
         ends = np.cumsum([0, *map(len, rows)]) // 4
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)), mask=values.is_null() if values.null_count else None)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]), mask=values.is_null() if values.null_count else None)
 
     return run(c)
 
@@ -194,13 +194,16 @@ def bpe_encode(c: Column, model: BpeModel) -> Column:
 def bpe_decode(c: Column, model: BpeModel) -> Column:
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        ids, pieces = values.flatten(), pa.array(model.pieces(), pa.large_binary())
-        known = pa.array(np.arange(len(pieces), dtype=np.int32))
-        got = pieces.take(pc.index_in(ids.cast(pa.int32()), known))  # no bytes for other ids
-        at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, 8 * got.offset) if len(got) else np.zeros(1, np.int64)
-        raw = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] is not None else b""
-        ends = at[np.cumsum([0, *values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])].tolist()
-        return pa.array([raw[lo:hi].decode("utf-8", "replace") if there else None for lo, hi, there in zip(ends, ends[1:], values.is_valid().to_pylist())], pa.string())
+        pieces, known = pa.array(model.pieces(), pa.large_binary()), pa.array(np.arange(model.vocab_size, dtype=np.int32))
+        out = []
+        for k in range(0, len(values), 256):  # the pieces of a few texts at once
+            part = values.slice(k, 256)
+            got = pieces.take(pc.index_in(part.flatten().cast(pa.int32()), known))  # no bytes for other ids
+            at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, 8 * got.offset) if len(got) else np.zeros(1, np.int64)
+            raw = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] is not None else b""
+            ends = at[np.cumsum([0, *part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])].tolist()
+            out += [raw[lo:hi].decode("utf-8", "replace") if there else None for lo, hi, there in zip(ends, ends[1:], part.is_valid().to_pylist())]
+        return pa.array(out, pa.string())
 
     return run(c)
 
